@@ -1,6 +1,7 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Words are runs of letters, lower-cased. Features of a word: all character n-grams of length 1 to 4 of the word between
+Words are separated by white space and lower-cased; only their letters count, and a word without letters has no
+evidence of its own. Features of a word: all character n-grams of length 1 to 4 of the word between
 boundary marks (those at a mark are its affixes), hashed, and its entry in the lexicon of each language. Transition
 weights are learned with the feature weights by stochastic gradients of the exact log-likelihood, on sequences of which
 some are cut from two texts, so that the model meets code-switching. Forward-backward gives every word's posterior; a
@@ -17,10 +18,10 @@ the id, whatever other columns there are.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,16 @@ GRAMS = (1, 2, 3, 4)
 MAX_LANGS = 64
 UNKNOWN = "und"
 HELD = 2  # of crc32(id) mod 4
-LETTERS = re.compile(r"[^\W\d_]+")
 MEMO = 300_000  # words whose emissions a worker remembers
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in LETTERS.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    return (text or "").lower().split()
+
+
+def letters(word: str) -> str:
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,9 +109,9 @@ def posteriors(e: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: np.nda
     return post, pairs * trans
 
 
-def fit(sample: list[tuple[str, str]], steps: int = 300, batch: int = 192, length: int = 24, seed: int = 5) -> Model | None:
+def fit(sample: list[tuple[str, str]], steps: int = 200, batch: int = 192, length: int = 24, seed: int = 5) -> Model | None:
     """A model from (text, lang) pairs; None if they hold no words."""
-    docs = [(w, lang) for text, lang in sorted(sample) if (w := words_of(text))]
+    docs = [(w, lang) for text, lang in sorted(sample) if (w := [x for x in map(letters, words_of(text)) if x])]
     langs = sorted({lang for _, lang in docs})
     if not langs:
         return None
@@ -172,33 +176,70 @@ def fit(sample: list[tuple[str, str]], steps: int = 300, batch: int = 192, lengt
     return Model(langs, weights.astype(np.float32), lexicon, lex_w, trans, start)
 
 
-def label_texts(model: Model, texts: list[list[str]], memo: dict, whole: bool = True) -> list[np.ndarray]:
-    """Mean posterior of each text's words, or the words' posteriors (``whole`` false)."""
-    new = list({w for t in texts for w in t if w not in memo})
-    if len(memo) + len(new) > MEMO:
-        memo.clear()
-        new = list({w for t in texts for w in t})
-    for w, e in zip(new, model.emissions(new) if new else (), strict=True):
-        memo[w] = e
-    trans, start, n = np.exp(model.transitions), np.exp(model.start), len(model.langs)
-    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-    out: list = [np.zeros(n)] * len(texts)
-    todo = [i for i in order if texts[i]]
-    at = 0
-    while at < len(todo):
-        end = at + 1  # as many texts as make a bounded block
-        while end < len(todo) and end - at < 256 and (end + 1 - at) * len(texts[todo[end]]) <= max(400_000, len(texts[todo[at]])):
-            end += 1
-        some = todo[at:end]
-        lens = np.array([len(texts[i]) for i in some])
-        mask = np.arange(lens.max()) < lens[:, None]
-        e = np.ones((len(some), int(lens.max()), n))
-        e[mask] = np.array([memo[w] for i in some for w in texts[i]])
-        post, _ = posteriors(e, mask, trans, start)
-        for k, i in enumerate(some):
-            out[i] = post[k].sum(axis=0) / lens[k] if whole else post[k, : lens[k]]
-        at = end
-    return out
+class Labeller:
+    """Posteriors of whole texts. Emissions of words are remembered, up to ``MEMO`` words; row 0 is for no letters."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.place, self.store = model, {}, np.ones((1, len(model.langs)), np.float32)
+        self.trans, self.start = np.exp(model.transitions).astype(np.float32), np.exp(model.start).astype(np.float32)
+
+    def rows(self, texts: list[list[str]]) -> np.ndarray:
+        """The words' rows in ``store``, text after text."""
+        new = set().union(*texts).difference(self.place)
+        if new:
+            if len(self.place) + len(new) > MEMO:
+                self.place, self.store = {}, self.store[:1]
+                new = set().union(*texts)
+            some = [(w, x) for w in sorted(new) if (x := letters(w))]
+            self.place.update(dict.fromkeys(new, 0))
+            self.place.update(zip((w for w, _ in some), range(len(self.store), len(self.store) + len(some)), strict=True))
+            if some:
+                self.store = np.concatenate([self.store, self.model.emissions([x for _, x in some]).astype(np.float32)])
+        return np.fromiter(map(self.place.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+
+    def __call__(self, texts: list[list[str]], whole: bool = True) -> list[np.ndarray]:
+        """Mean posterior of each text's words, or (``whole`` false) the posterior of each word.
+
+        Words of all texts go step by step, longest text first: at each step the texts that still have a word are a
+        prefix, so nothing is padded.
+        """
+        lens = np.array([len(t) for t in texts], np.int64)
+        order = np.argsort(-lens, kind="stable")
+        rank = np.empty(len(texts), np.int64)
+        rank[order] = np.arange(len(texts))
+        longest = int(lens.max(initial=0))
+        active = len(texts) - np.searchsorted(np.sort(lens), np.arange(longest), "right")  # texts with more than i words
+        at = np.r_[0, np.cumsum(active)]
+        step = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+        spot = at[step] + np.repeat(rank, lens)
+        rows = np.empty(len(spot), np.int64)
+        rows[spot] = self.rows(texts)
+        e = self.store[rows]
+        alpha = np.empty_like(e)
+        now = np.broadcast_to(self.start, (active[0] if longest else 0, len(self.start)))
+        for i in range(longest):
+            a, b = at[i], at[i + 1]
+            now = (now[: b - a] @ self.trans if i else now) * e[a:b]
+            now /= now.sum(axis=1, keepdims=True)
+            alpha[a:b] = now
+        beta = np.ones((0, len(self.start)), np.float32)
+        for i in range(longest - 1, -1, -1):
+            a, b = at[i], at[i + 1]
+            if b - a > len(beta):
+                beta = np.concatenate([beta, np.ones((b - a - len(beta), len(self.start)), np.float32)])
+            alpha[a:b] *= beta
+            beta = (e[a:b] * beta) @ self.trans.T
+            beta /= beta.sum(axis=1, keepdims=True)
+        alpha /= alpha.sum(axis=1, keepdims=True)
+        post = alpha[spot]  # text after text again
+        cut = np.cumsum(lens)[:-1]
+        if not whole:
+            return np.split(post, cut)
+        out = np.zeros((len(texts), len(self.start)))
+        full = np.flatnonzero(lens)
+        if len(full):
+            out[full] = np.add.reduceat(post, (np.cumsum(lens) - lens)[full], axis=0, dtype=np.float64) / lens[full, None]
+        return list(out)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -216,20 +257,22 @@ def sampled(docs: DataFrame, per_lang: int) -> list[tuple[str, str]]:
     return [(r["text"], r["lang"]) for r in able.where(F.coalesce(drawn < share, F.lit(False))).select("text", "lang").collect()]
 
 
-def predicted(docs: DataFrame, per_lang: int = 200, steps: int = 300) -> DataFrame:
+def predicted(docs: DataFrame, per_lang: int = 200, steps: int = 200) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, n_words."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang"))
     model = fit(sampled(named, per_lang), steps)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * langs floats and the sample's words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memo = shared.value, {}
+        own = shared.value
+        label = Labeller(own) if own else None
         for batch in batches:
             for part in pieces(batch, "text", 8 << 20):
                 texts = [words_of(t) for t in part.column("text").to_pylist()]
-                means = label_texts(own, texts, memo) if own else [np.zeros(1)] * len(texts)
-                lang = [own.langs[int(m.argmax())] if t and own else UNKNOWN for t, m in zip(texts, means, strict=True)]
-                score = [min(1.0, float(m.max())) if t and own else 0.0 for t, m in zip(texts, means, strict=True)]
+                means = label(texts) if label else [np.zeros(1)] * len(texts)
+                able = [bool(own) and any(map(letters, t)) for t in texts]
+                lang = [own.langs[int(m.argmax())] if x else UNKNOWN for x, m in zip(able, means, strict=True)]
+                score = [min(1.0, float(m.max())) if x else 0.0 for x, m in zip(able, means, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "held_out", "lang_pred", "score", "n_words"])
 
     return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long")

@@ -12,7 +12,11 @@ Defined results: a null or empty text is its end id alone; repeated rows are pac
 
 from __future__ import annotations
 
+import codecs
+import gc
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,34 +28,70 @@ from pyspark.sql import functions as F
 from .common import pieces, written
 
 END = 2
-REMEMBERED = 400_000  # parts that a worker remembers; then it starts anew
+REMEMBERED = 1_000_000  # parts that a worker remembers, some 200 MB; then it starts anew
 BROADCAST_TASKS = 1_000_000  # offsets of 16 bytes
-_memos: dict[str, dict[bytes, bytes]] = {}
-_tokenizers: dict = {}
-
-
-def encoder(path: str):
-    """From a list of texts to their ids as little-endian 32-bit bytes."""
-    from tokenizers import Tokenizer
-
-    if path not in _tokenizers:
-        _tokenizers[path], _memos[path] = Tokenizer.from_file(path), {}
-    tokenizer, memo = _tokenizers[path], _memos[path]
-
-    def run(texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        new = {w for p in parts for w in p if w not in memo}
-        if len(memo) + len(new) > REMEMBERED:
-            memo.clear()
-            new = {w for p in parts for w in p}
-        order = list(new)
-        for i in range(0, len(order), 10_000):
-            some = order[i : i + 10_000]
-            for w, e in zip(some, tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, p)) for p in parts]
-
-    return run
+_encoders: dict = {}
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1 as it is, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+class Encoder(dict):
+    """From white-space separated parts of a text to their ids as little-endian 32-bit bytes, remembered.
+
+    A part of letters, or of letters and then ASCII punctuation without an apostrophe, is one or two words of the
+    tokenizer's pattern; its model gets them directly. Any other part goes through the whole tokenizer.
+    """
+
+    PUNCTUATION = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>")
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, "".join(byte_letters())
+        self.runs: dict[bytes, bytes] = {}
+        normal, split = self.tokenizer.normalizer.normalize_str("A\u00c9"), self.tokenizer.pre_tokenizer.pre_tokenize_str("ab,\u00e9")
+        self.direct = normal == "a\u00e9" and [x for x, _ in split] == ["ab", ",", codecs.charmap_decode("\u00e9".encode(), "strict", self.letters)[0]]
+
+    def run(self, word: bytes) -> bytes:
+        found = array("I", [t.id for t in self.model.tokenize(codecs.charmap_decode(word, "strict", self.letters)[0])]).tobytes()
+        self.runs[word] = found
+        return found
+
+    def __missing__(self, part: bytes) -> bytes:
+        core = part.rstrip(self.PUNCTUATION)
+        tail, word = part[len(core) :], b""
+        if self.direct and core:
+            if core.isascii():
+                word = core if core.isalpha() else b""
+            elif unicodedata.is_normalized("NFC", text := core.decode()) and "\u03a3" not in text and (low := text.lower()).isalpha():
+                word = low.encode()
+        if word:
+            runs = self.runs
+            found = (runs.get(word) or self.run(word)) + ((runs.get(tail) or self.run(tail)) if tail else b"")
+        else:
+            found = array("I", self.tokenizer.encode(part.decode(), add_special_tokens=False).ids).tobytes()
+        self[part] = found
+        return found
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if len(self) + len(self.runs) > REMEMBERED:
+            self.clear(), self.runs.clear()
+        gc.disable()  # else every collection walks all that is remembered
+        return [b"".join(map(self.__getitem__, (t or "").encode("utf-8", "replace").lower().split())) for t in texts]
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _squeezed(ids: bytes) -> bytes:
