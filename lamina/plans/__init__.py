@@ -1,13 +1,20 @@
 """Registered queries and the SQL that checks them."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+from . import catalog, layouts, nested  # noqa: F401  (each registers its queries)
+from .registry import SQL, TABLE
 
-def queries():
-    return {}
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TABLE["D14_dictionary_decode"](spark, sf_dir)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict:
+    return dict(TABLE)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
