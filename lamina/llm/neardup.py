@@ -7,8 +7,10 @@ permutations there are 38 bands of 5: a pair at similarity 0.8 is missed with pr
 1. Documents with equal shingle sets are one class; its smallest id stands for it.
 2. Classes meet in band buckets. Each bucket is led by the member that meets most others in all its buckets; every
    member is compared with its leader on full sets. That takes members, not pairs, and joins copies of one text.
-3. Components of these links; buckets that still hold several components, and more than the leader and one other, are
-   compared in full, in blocks of bounded size. Nothing is emitted but one link for two components that meet.
+3. Components of these links. Buckets that still hold several components, and more than the leader and one other, are
+   compared in blocks of bounded size: first by one byte of each signature value, which leaves the members that have a
+   partner in another component at similarity ``CLOSE`` or more (a pair at 0.8 falls below it with probability 1e-6),
+   then those members on full sets. Nothing is emitted but members and one link for two components that meet.
 4. Components of all links.
 
 Defined results: no words or no text: empty set, linked with nothing; fewer words than a shingle: the whole sequence is
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, components, mix, packed, partitions, pieces, unpacked, utf8, word_hashes, written
+from .common import _BASE, components, mix, packed, pieces, unpacked, utf8, word_hashes, written
 
 PERMS = 95
 ROWS = 5
 BLOCK = 512  # members of a bucket that are compared at a time
+WIDE = 1024  # the same, by signature bytes
+CLOSE = 0.66  # similarity by signature bytes from which full sets are compared
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, PERMS, dtype=np.uint64)
@@ -55,21 +59,22 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndar
     return row[new], value[new]
 
 
-def bands(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """Band keys of ``n`` texts that all have shingles: one row per text, min bands then max bands."""
+def bands(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``n`` texts that all have shingles: band keys, min bands then max bands; a byte of each signature value."""
     starts = np.searchsorted(row, np.arange(n))
     out = np.zeros((n, 2 * PERMS // ROWS), np.uint64)
+    sketch = np.zeros((n, 2 * PERMS), np.uint8)
     for p in range(PERMS):
         drawn = (value * _A[p] + _B[p]) >> np.uint64(32)
-        band = p // ROWS
-        out[:, band] = out[:, band] * _BASE + np.minimum.reduceat(drawn, starts)
-        band += PERMS // ROWS
-        out[:, band] = out[:, band] * _BASE + np.maximum.reduceat(drawn, starts)
-    return mix(out + np.arange(1, out.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for side, best in enumerate((np.minimum.reduceat(drawn, starts), np.maximum.reduceat(drawn, starts))):
+            band = p // ROWS + side * (PERMS // ROWS)
+            out[:, band] = out[:, band] * _BASE + best
+            sketch[:, 2 * p + side] = (best * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8)
+    return mix(out + np.arange(1, out.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), sketch
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set1, set2 (together a 128-bit hash of the set), bands."""
+    """doc_id, n_shingles, set1, set2 (together a 128-bit hash of the set), bands, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,19 +84,22 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 size = np.bincount(row, minlength=n)
                 full = np.flatnonzero(size)
                 sums = np.zeros((2, n), np.uint64)
-                keys = np.zeros((0, 2 * PERMS // ROWS), np.uint64)
+                keys, sketch = np.zeros((0, 2 * PERMS // ROWS), np.uint64), [b""] * n
                 if len(full):
                     starts = np.searchsorted(row, full)
                     for i in range(2):
                         sums[i, full] = np.add.reduceat(mix(value + np.uint64(i + 1)), starts)
-                    keys = bands(np.searchsorted(full, row), value, len(full))
+                    keys, found = bands(np.searchsorted(full, row), value, len(full))
+                    for i, x in zip(full, found, strict=True):
+                        sketch[i] = x.tobytes()
                 ends = np.r_[0, np.cumsum((size > 0) * keys.shape[1])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in sums), pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))], ["doc_id", "n_shingles", "set1", "set2", "bands"]
+                    [part.column("doc_id"), pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in sums), pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64))), pa.array(sketch, pa.binary())],
+                    ["doc_id", "n_shingles", "set1", "set2", "bands", "sketch"],
                 )
 
     here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return here.mapInArrow(run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>")
+    return here.mapInArrow(run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, sketch binary")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -135,7 +143,39 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def block_links(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def block_close(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which members have a close partner in another component, left against right."""
+    out = np.zeros(len(comp), bool)
+    r = np.flatnonzero(right)
+    for u in np.flatnonzero(left):
+        v = r[(comp[r] != comp[u]) & (100 * np.minimum(size[r], size[u]) >= percent * np.maximum(size[r], size[u]))]
+        if len(v):
+            near = v[(sketch[v] == sketch[u]).sum(axis=1) >= CLOSE * sketch.shape[1]]
+            out[near] = True
+            out[u] |= len(near) > 0
+    return out
+
+
+def in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Rows (key, n of the bucket, ...) dealt into pairs of blocks: i, j and side (0: the first block)."""
+    here = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    here = here.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return here.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("blocks", "own", "other")
+
+
+def close_members(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(key, id) of ``members`` (key, id, size, comp, n) that full sets must decide."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, ids, comp, size, side, i, j = (table.column(c).to_numpy() for c in ("key", "id", "comp", "size", "side", "i", "j"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        near = block_close(comp, size, sketch, side == 0, side == (i[0] != j[0]), percent)
+        return pa.table([pa.array(key[near]), pa.array(ids[near])], names=["key", "id"])
+
+    return in_blocks(members, WIDE).join(sketches, "id").groupBy("key", "i", "j").applyInArrow(run, "key long, id long").distinct()
+
+
+def block_links(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links between members of different components, left against right: enough of them to join all that touch."""
     parent = {int(c): int(c) for c in comp}
 
@@ -155,7 +195,7 @@ def block_links(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], left:
         n = b - a
         spot = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         both = np.bincount(owner[spot], minlength=len(sets))
-        for v in np.flatnonzero((100 * both >= percent * (size + size[u] - both)) & (comp != comp[u])):
+        for v in np.flatnonzero(right & (100 * both >= percent * (size + size[u] - both)) & (comp != comp[u])):
             x, y = root(int(comp[u])), root(int(comp[v]))
             if x != y:
                 parent[max(x, y)] = min(x, y)
@@ -164,21 +204,14 @@ def block_links(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], left:
 
 
 def full_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within buckets: ``members`` (key, id, comp, n of the bucket), all against all in blocks."""
+    """Links (a, b) within buckets: ``members`` (key, id, comp, n), all against all in blocks, on full sets."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
-        order = np.lexsort((side, ids))
-        new = np.r_[True, ids[order][1:] != ids[order][:-1]]
-        pick = order[new]
-        blobs = table.column("shingles")
-        links = block_links(ids[pick], comp[pick], [_set(blobs[int(i)].as_py()) for i in pick], side[pick] == 0, percent)
-        return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
-
-    here = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    here = here.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    here = here.select("key", "id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return here.join(sets, "id").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+        ids, comp, side, i, j = (table.column(c).to_numpy() for c in ("id", "comp", "side", "i", "j"))
+        links = block_links(ids, comp, [_set(x) for x in table.column("shingles").to_pylist()], side == 0, side == (i[0] != j[0]), percent)
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    return in_blocks(members, BLOCK).join(sets, "id").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def clusters(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -195,21 +228,25 @@ def clusters(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ranked = members.join(score, "id")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("id"), "size")).alias("x")).select("key", (-F.col("x.id")).alias("a"), F.col("x.size").alias("size_a"))
     met = members.join(leaders, "key").where(f"id <> a and 100 * least(size, size_a) >= {percent} * greatest(size, size_a)")
-    pairs = written(met.select("a", F.col("id").alias("b")).distinct(), "pairs")
+    pairs = written(met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
+
     sets = written(sets_of(docs, pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), k), "sets")
     links = written(verified(pairs, sets, percent), "verified")
     comps = written(components(links), "components")
 
     placed = members.where("n > 2").join(comps, "id", "left").select("key", "id", "size", "n", F.coalesce("component", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = written(placed.join(mixed, "key").select("key", "id", "comp", "n"), "rest")
-    if rest.limit(1).count():
-        more_sets = sets_of(docs, rest.select("id").distinct(), k)
-        more = written(full_buckets(rest, more_sets, percent), "more")
-        comps = written(components(links.unionAll(more)), "components")
+    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rest = written(placed.join(several, "key"), "rest")
+    near = written(close_members(rest, lead.select(F.col("doc_id").alias("id"), "sketch"), percent), "near")
+    if near.limit(1).count():
+        some = near.groupBy("key").agg(F.count("*").alias("n"))
+        held = rest.drop("n").join(near, ["key", "id"]).join(some, "key").select("key", "id", "comp", "n")
+        more = written(full_buckets(held, sets_of(docs, near.select("id").distinct(), k), percent), "more")
+        if more.limit(1).count():
+            comps = written(components(links.unionAll(more)), "components")
 
     of_class = classes.join(comps, "id", "left").select("set1", "set2", "n_shingles", F.coalesce("component", "id").alias("c"))
-    out = rows.drop("bands").join(of_class, ["set1", "set2", "n_shingles"], "left")
+    out = rows.drop("bands", "sketch").join(of_class, ["set1", "set2", "n_shingles"], "left")
     comp = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id")).select("*", (F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).alias("kept"))
 
