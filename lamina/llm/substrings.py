@@ -33,7 +33,7 @@ BLOCK = 16 << 20  # bytes of text for each of the blocks that hashes or ids are
 
 
 def blocks_for(docs: DataFrame) -> int:
-    return max(4 * partitions(docs.sparkSession), text_bytes(docs) // BLOCK)
+    return max(partitions(docs.sparkSession), text_bytes(docs) // BLOCK)
 
 
 def owner(ids: np.ndarray, n: int) -> np.ndarray:
@@ -65,6 +65,8 @@ _SQL = "block long, kind int, ids binary, hashes binary"
 
 def firsts(ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different (id, hash) pairs ordered by hash, then id; and whether a pair has the smallest id of its hash."""
+    if not len(h):
+        return ids, h, np.zeros(0, bool)
     order = np.lexsort((ids, h))
     ids, h = ids[order], h[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])]
@@ -74,7 +76,7 @@ def firsts(ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 def lost_windows(docs: DataFrame, k: int, n: int, stretch: int = STRETCH) -> DataFrame:
     """(block, ids, hashes): pairs of an id and a window that it loses, in blocks by id."""
-    top = np.uint64(2**64 // n + 1)
+    top = np.uint64(min(2**64 - 1, 2**64 // n + 1))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
