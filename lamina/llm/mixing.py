@@ -7,7 +7,8 @@ j-th golden-ratio point, mapped through the cumulative slots of the sources to a
 that source names the block (round and round, three passes at most). Ranks and offsets come from counts per chunk and
 bucket, so no task holds a source.
 
-Integers decide everything after the targets, so reruns agree. Defined results: a null text has no words; a document or
+Integers decide everything after the targets, and hashes of ids and contents order the documents, not where their rows
+lie, so reruns agree. Defined results: a null text has no words; a document or
 source without words is taken 0 times; repeated rows are documents of their own.
 """
 
@@ -31,10 +32,15 @@ MOST_SLOTS = 1 << 26
 BROADCAST_SOURCES = 100_000
 
 
-def sized(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """Per row: rid, doc_id, source, size; written, so that texts are read once."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS)).cast("long").alias("size"))
-    return written(rows.withColumn("rid", F.monotonically_increasing_id()), "sized")
+def sized(docs: DataFrame, text: str = "text", source: str = "source", rid: str | None = None, content: str | None = None) -> DataFrame:
+    """Per row: rid, doc_id, source, size, content; written, so that texts are read once.
+
+    ``content`` names a column that tells rows of one doc_id apart; else their texts do.
+    """
+    own = F.monotonically_increasing_id() if rid is None else F.col(rid)
+    told = F.xxhash64(text) if content is None else F.col(content)
+    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS)).cast("long")
+    return written(docs.select(own.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), told.alias("content")), "sized")
 
 
 def targets(rows: DataFrame, block_words: int = 1024) -> DataFrame:
@@ -88,19 +94,19 @@ def _with(rows: DataFrame, goal: DataFrame, *names: str) -> DataFrame:
 def block_pieces(rows: DataFrame, goal: DataFrame, seed: int = 7) -> DataFrame:
     """rid, k, block, words: how a source's shuffled documents fill its blocks, one row for each part of a document."""
     here = _with(rows.where("size > 0"), goal, "k", F.col("block").alias("block_words"))
-    here = here.withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("b", F.shiftrightunsigned("h", 55).cast("int"))
+    here = here.withColumn("h", F.xxhash64("doc_id", "content", F.lit(seed))).withColumn("b", F.shiftrightunsigned("h", 55).cast("int"))
     sums = here.groupBy("k", "b").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.sum("size").over(Window.partitionBy("k", "b").orderBy("h", "rid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    own = F.sum("size").over(Window.partitionBy("k", "b").orderBy("h", "doc_id", "content", "rid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     here = here.withColumn("own", own).join(sums.select("k", "b", before.alias("before")), ["k", "b"]).withColumn("at", F.col("own") + F.col("before"))
     here = here.withColumn("block", F.explode(F.sequence(F.expr("at div block_words"), F.expr("(at + size - 1) div block_words"))))
     words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("block_words")) - F.greatest("at", F.col("block") * F.col("block_words"))
     return here.select("rid", "k", "block", words.alias("words"))
 
 
-def mixed(docs: DataFrame, block_words: int = 1024, text: str = "text", source: str = "source") -> DataFrame:
-    """Per row: rid, doc_id, size, source_size, target, taken."""
-    rows = sized(docs, text, source)
+def mixed(docs: DataFrame, block_words: int = 1024, text: str = "text", source: str = "source", rid: str | None = None, content: str | None = None) -> DataFrame:
+    """Per row: rid (the column of that name, or a number of our own), doc_id, size, source_size, target, taken."""
+    rows = sized(docs, text, source, rid, content)
     goal = targets(rows, block_words)
     uses = schedule(goal).groupBy("k", "block").agg(F.count("*").alias("uses"))
     taken = block_pieces(rows, goal).join(uses, ["k", "block"]).groupBy("rid").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
@@ -114,8 +120,11 @@ def drawn_texts(docs: DataFrame, block_words: int = 1024) -> DataFrame:
     own = [f"c{i}" for i in range(len(docs.columns))]
     place = {c: own[i] for i, c in enumerate(docs.columns)}
     keyed = written(docs.toDF(*own).withColumn("__rid", F.monotonically_increasing_id()), "rows")
-    plan = mixed(keyed.select(F.col("__rid").alias("doc_id"), F.col(place["text"]).alias("text"), F.col(place["source"]).alias("source")), block_words)
-    plan = plan.where("taken > 0").select(F.col("doc_id").alias("__rid"), F.expr("cast(taken div size as int)").alias("__whole"), F.expr("taken % size").alias("__rest"))
+    doc_id = F.col(place["doc_id"]) if "doc_id" in place else F.lit(None)
+    told = [c for c, t in keyed.drop("__rid").dtypes if "map<" not in t and "variant" not in t]  # what has a hash
+    view = keyed.select("__rid", doc_id.alias("doc_id"), F.col(place["text"]).alias("text"), F.col(place["source"]).alias("source"), F.xxhash64(*told).alias("content"))
+    plan = mixed(view, block_words, rid="__rid", content="content")
+    plan = plan.where("taken > 0").select(F.col("rid").alias("__rid"), F.expr("cast(taken div size as int)").alias("__whole"), F.expr("taken % size").alias("__rest"))
     both = keyed.join(plan, "__rid").drop("__rid")
     text, chars = place["text"], place.get("n_chars")
 

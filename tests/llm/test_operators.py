@@ -252,3 +252,10 @@ def test_pipeline(spark):
         now = stage(spark, now, sf).cache()
         assert now.schema == docs.schema
     assert corpus_pipeline.run(spark, sf).agg(F.sum("length")).first()[0] == packing.packed_pieces(now, entries.vocabulary()).agg(F.sum("length")).first()[0]
+
+
+def test_a_mix_follows_rows_not_where_they_lie(docs):
+    def drawn(df):
+        return Counter(map(tuple, mixing.drawn_texts(df, block_words=16).collect()))
+
+    assert drawn(docs) == drawn(docs.orderBy(F.col("n_chars"), F.col("doc_id").desc()).coalesce(1)) == drawn(docs.repartition(7, "text"))
