@@ -33,6 +33,7 @@ PERMS = 95
 ROWS = 5
 BLOCK = 512  # members of a bucket that are compared at a time
 WIDE = 1024  # the same, by signature bytes
+MAX_BITS = 1 << 28  # 32 MB, of the filter of ids whose sets are fetched
 CLOSE = 0.66  # similarity by signature bytes from which full sets are compared
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,8 +103,24 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return here.mapInArrow(run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, sketch binary")
 
 
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (id, ...) whose id has its bit among those of ``ids`` (id): all of theirs, and few others.
+
+    The bits are broadcast, 4 KB for each 32768: some 32 bits an id, ``MAX_BITS`` in all. Past that size more others
+    pass, so callers join with ``ids`` afterwards.
+    """
+    bits = int(min(MAX_BITS, max(1 << 15, 1 << (32 * ids.count()).bit_length())))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    at = ids.select(F.expr(f"pmod(xxhash64(id), {bits}L) div 32768").alias("__cell"), (place % 32768).alias("bit"))
+    cells = at.groupBy("__cell").agg(F.bitmap_construct_agg("bit").alias("__bits"))
+    placed = docs.withColumns({"__cell": F.expr(f"pmod(xxhash64(id), {bits}L) div 32768"), "__bit": (place % 32768).cast("int")})
+    byte = F.expr("cast(conv(hex(substring(__bits, __bit div 8 + 1, 1)), 16, 10) as int)")
+    held = placed.join(F.broadcast(cells), "__cell").where(byte.bitwiseAND(F.expr("shiftleft(1, __bit % 8)")) != 0)
+    return held.drop("__cell", "__bit", "__bits")
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) for the documents in ``ids`` (id): their full sets, compressed."""
+    """(id, shingles) for the documents in ``ids`` (id, all different): their full sets, compressed. No text shuffles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,8 +130,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 blobs = [packed(np.diff(value[a:b], prepend=np.uint64(0))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(blobs, pa.binary())], ["id", "shingles"])
 
-    here = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(ids.select("id"), "id", "left_semi")
-    return here.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    here = likely(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")), ids).select("id", "text")
+    return here.mapInArrow(run, "id long, shingles binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def _set(blob: bytes) -> np.ndarray:
@@ -230,7 +247,8 @@ def clusters(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     met = members.join(leaders, "key").where(f"id <> a and 100 * least(size, size_a) >= {percent} * greatest(size, size_a)")
     pairs = written(met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
 
-    sets = written(sets_of(docs, pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), k), "sets")
+    ids = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "ids")
+    sets = written(sets_of(docs, ids, k), "sets")
     links = written(verified(pairs, sets, percent), "verified")
     comps = written(components(links), "components")
 
@@ -241,7 +259,7 @@ def clusters(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if near.limit(1).count():
         some = near.groupBy("key").agg(F.count("*").alias("n"))
         held = rest.drop("n").join(near, ["key", "id"]).join(some, "key").select("key", "id", "comp", "n")
-        more = written(full_buckets(held, sets_of(docs, near.select("id").distinct(), k), percent), "more")
+        more = written(full_buckets(held, sets_of(docs, written(near.select("id").distinct(), "near_ids"), k), percent), "more")
         if more.limit(1).count():
             comps = written(components(links.unionAll(more)), "components")
 

@@ -259,3 +259,12 @@ def test_a_mix_follows_rows_not_where_they_lie(docs):
         return Counter(map(tuple, mixing.drawn_texts(df, block_words=16).collect()))
 
     assert drawn(docs) == drawn(docs.orderBy(F.col("n_chars"), F.col("doc_id").desc()).coalesce(1)) == drawn(docs.repartition(7, "text"))
+
+
+def test_the_id_filter_loses_no_id(spark):
+    df = spark.range(-3000, 3000).withColumn("text", F.lit("x"))
+    for step in (7, 4000, 100_000):
+        ids = spark.range(-3000, 3000, step)
+        found = {r.id for r in neardup.likely(df, ids).collect()}
+        assert {r.id for r in ids.collect()} <= found and len(found) <= 6000 // step + 1 + 400
+    assert neardup.likely(df, spark.range(0)).count() == 0
