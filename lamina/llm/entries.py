@@ -101,6 +101,52 @@ WITH words AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM words LEFT JOIN counted USING (doc_id)"""
 
+_OP6 = """
+WITH RECURSIVE able AS MATERIALIZED (
+  SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b FROM able a JOIN able b ON a.label = b.label AND len(a.e) = len(b.e) AND a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON vec_id = least.a LEFT JOIN counted ON vec_id = counted.a"""
+
+_OP7 = f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce('1' || source, '0') AS host, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents
+), lines AS MATERIALIZED (
+  SELECT rid, host, t, l, regexp_extract_all({_LOWER.format('l')}, {_WORD}) AS lw FROM (SELECT rid, host, t, unnest(string_split(t, chr(10))) AS l FROM docs)
+), hosts AS (
+  SELECT host, count(DISTINCT t) AS n_docs FROM docs GROUP BY host
+), held AS (
+  SELECT host, array_to_string(lw, ' ') AS k, count(DISTINCT t) AS n FROM lines WHERE len(lw) > 0 GROUP BY host, k HAVING count(DISTINCT t) > 20
+), over_limit AS (
+  SELECT host, k FROM held JOIN hosts USING (host) WHERE n > n_docs * 0.005::DOUBLE
+), lost AS (
+  SELECT rid, sum(len(lw)) AS lost FROM lines JOIN over_limit o ON lines.host = o.host AND array_to_string(lw, ' ') = k WHERE len(lw) > 0 GROUP BY rid
+), again AS (
+  SELECT rid, sum(n - 1) AS n_dup FROM (SELECT rid, l, count(*) AS n FROM lines WHERE len(lw) > 0 GROUP BY rid, l) GROUP BY rid
+), windows AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS n
+  FROM (SELECT rid, i, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) >= 3))
+), repeated AS (
+  SELECT rid, count(DISTINCT i + j) AS n_rep FROM windows, range(3) AS r(j) WHERE n > 1 GROUP BY rid
+), base AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_rep, 0) AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_words
+  FROM docs LEFT JOIN again USING (rid) LEFT JOIN repeated USING (rid) LEFT JOIN lost USING (rid)
+), failed AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost_words <= 0.7::DOUBLE * n_words AS kept, lost_words FROM failed"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": _OP3, "op10_substring_dedup": _OP10}
+    return {"op3_line_dedup": _OP3, "op6_embedding_near_dedup": _OP6, "op7_quality_rules": _OP7, "op10_substring_dedup": _OP10}
