@@ -268,3 +268,29 @@ def test_the_id_filter_loses_no_id(spark):
         found = {r.id for r in neardup.likely(df, ids).collect()}
         assert {r.id for r in ids.collect()} <= found and len(found) <= 6000 // step + 1 + 400
     assert neardup.likely(df, spark.range(0)).count() == 0
+
+
+def test_sql_where_something_is_found(spark, tmp_path):
+    """op6 and op7 against their SQL on tables that have links, frequent lines, nulls and unusable vectors."""
+    from ..oracle import compare, views
+
+    common = "this line stands in many documents of one host and of no other host at all\n"
+    docs = []
+    for i in range(90):
+        own = " ".join(f"w{i}x{j}" for j in range(60 if i % 3 else 12))
+        docs.append((i, common * (1 + i % 4) + own if i % 2 else own, None if i % 5 == 0 else f"host{i % 2}"))
+    notice = " ".join(f"notice{j}" for j in range(60))  # alone it makes a long text without repeats
+    docs += [(200 + i, f"{notice}\nshort and own {i}", "host1") for i in range(30)]
+    docs += [(90, None, "host1"), (91, "", None), (92, "a b c a b c\n\n a b c", "host0"), (93, docs[3][1], docs[3][2])]
+    vectors = [(i, [float(np.cos(i * 0.2)), float(np.sin(i * 0.2))], i % 2) for i in range(40)]  # chains around the circle
+    vectors += [(40, None, 0), (41, [0.0, 0.0], 0), (42, [float("nan"), 1.0], 0), (43, [1.0, None], 1), (44, [1.0, 0.0], None), (45, [1.0, 0.0, 0.0], 0), (46, vectors[6][1], 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(str(tmp_path / "e"))
+    next((tmp_path / "e").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    con = views(str(tmp_path))
+    for name in ("op6_embedding_near_dedup", "op7_quality_rules"):
+        assert compare(entries.queries()[name](spark, str(tmp_path)), con, entries.oracle_sql()[name]) == "", name
+    op6 = entries.queries()["op6_embedding_near_dedup"](spark, str(tmp_path))
+    assert op6.where("not kept").count() > 0 and op6.where("n_links > 1").count() > 0
+    op7 = entries.queries()["op7_quality_rules"](spark, str(tmp_path))
+    assert op7.where("lost_words > 0").count() > 0 and op7.where("not kept and not base_failed").count() > 0
