@@ -45,7 +45,7 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(_documents(spark, sf_dir)).drop("rid")
+    return quality.judged(_documents(spark, sf_dir)).drop("rid", "over_lines")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

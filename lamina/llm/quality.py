@@ -3,10 +3,11 @@
 Lines are normalised (words lower-cased over A-Z, joined by one space) and hashed. Per host, the documents that hold a
 line are counted by different content, so exact copies of one document count once. A line held by more than
 ``max(min_docs, share * documents of the host)`` documents is over the limit and is removed; a document that so loses
-more than ``max_lost`` of its words is depleted and rejected. The base rules reject short and repetitive texts.
+more than ``max_lost`` of its words is depleted and rejected. The base rules reject short and repetitive texts; they
+judge texts as they came, before lines are removed.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows are
-judged each, and counted once; ids play no part.
+judged each, and counted once; ids play no part. Lines without a word are never over a limit and stay.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .common import _BASE, _BYTE, mix, pieces, powers, utf8, windows, word_hashe
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 _OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, lines array<long>, line_words array<int>"
 
 
@@ -97,25 +99,49 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
 
 
 def judged(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.005, max_lost: float = 0.7) -> DataFrame:
-    """Per row of ``docs``: doc_id, the base counts, base_failed, lost_words (in removed lines), kept."""
+    """Per row of ``docs``: doc_id, the base counts, base_failed, kept, lost_words (in removed lines), rid, over_lines.
+
+    ``over_lines`` are the places of the lines to remove among the text's lines with a word, from 0; null if none is.
+    """
     base = written(measured(docs, host).withColumn("host", F.concat(F.when(F.col("host").isNull(), "0").otherwise("1"), F.coalesce("host", F.lit("")))).withColumn("rid", F.monotonically_increasing_id()), "measured")
     hosts = base.groupBy("host").agg(F.countDistinct("content").alias("n_docs"))
-    lines = base.select("rid", "host", "content", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("rid", "host", "content", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    lines = base.select("rid", "host", "content", F.posexplode(F.arrays_zip("lines", "line_words")).alias("place", "x")).select("rid", "host", "content", "place", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     held = lines.groupBy("host", "line").agg(F.countDistinct("content").alias("n")).where(F.col("n") > min_docs)
     over = held.join(hosts, "host").where(F.col("n") > F.col("n_docs") * share).select("host", "line")
-    lost = lines.join(over, ["host", "line"]).groupBy("rid").agg(F.sum("words").alias("lost"))
+    lost = lines.join(over, ["host", "line"]).groupBy("rid").agg(F.sum("words").alias("lost"), F.collect_list("place").alias("over_lines"))
     both = base.drop("content", "lines", "line_words").join(lost, "rid", "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     lost_words = F.coalesce(F.col("lost"), F.lit(0)).cast("long")
-    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (lost_words <= max_lost * F.col("n_words"))).alias("kept"), lost_words.alias("lost_words"), "rid")
+    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (lost_words <= max_lost * F.col("n_words"))).alias("kept"), lost_words.alias("lost_words"), "rid", "over_lines")
+
+
+def without(text: str, over: list[int]) -> str:
+    """``text`` without the lines at the places ``over`` among its lines with a word."""
+    gone, place, out = set(over), -1, []
+    for line in text.split("\n"):
+        solid = bool(line.strip(BLANK))
+        place += solid
+        if not (solid and place in gone):
+            out.append(line)
+    return "\n".join(out)
 
 
 def filtered(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all columns as they are."""
+    """The rows of ``docs`` that are kept, their texts without the lines over the limit; all other columns as they are."""
     own = [f"c{i}" for i in range(len(docs.columns))]
     place = {c: own[i] for i, c in enumerate(docs.columns)}
+    text = place["text"]
     keyed = written(docs.toDF(*own).withColumn("__rid", F.monotonically_increasing_id()), "rows")
     host = how.pop("host", "source")
-    view = keyed.select(F.col("__rid").alias("doc_id"), F.col(place["text"]).alias("text"), F.col(place[host]).alias("host"))
-    kept = judged(view, host="host", **how).where("kept").select(F.col("doc_id").alias("__rid"))
-    return keyed.join(kept, "__rid", "left_semi").drop("__rid").toDF(*docs.columns)
+    view = keyed.select(F.col("__rid").alias("doc_id"), F.col(text).alias("text"), F.col(place[host]).alias("host"))
+    kept = judged(view, host="host", **how).where("kept").select(F.col("doc_id").alias("__rid"), F.col("over_lines").alias("__over"))
+    both = keyed.join(kept, "__rid").drop("__rid")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, text):
+                at = part.schema.get_field_index(text)
+                texts = [without(t, x) if x else t for t, x in zip(part.column(text).to_pylist(), part.column("__over").to_pylist(), strict=True)]
+                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type)).drop_columns(["__over"])
+
+    return both.mapInArrow(cut, both.drop("__over").schema).toDF(*docs.columns)

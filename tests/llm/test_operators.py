@@ -164,6 +164,36 @@ def test_depleted_documents_go(spark):
     assert {r.doc_id for r in quality.judged(df).where("kept").collect()} == {99, 100}
 
 
+def test_lines_over_the_limit_leave_the_kept_texts(spark):
+    """``filtered`` against brute force: verdicts, and texts without the lines that too many documents of a host hold."""
+    menu, odd = "Menu  of the\tsite", "  MENU of the site \x0b"
+    data = [(i, f"{menu}\nown {' '.join(f'w{i}x{j}' for j in range(55 + i % 3))}\n\n{odd if i % 4 else 'once ' + str(i)}\nlast {i}", "h" if i % 6 else None) for i in range(60)]
+    data += [(100 + i, "\n".join([" ".join(f"menu{j}" for j in range(50)), f"own{i}"]), "h") for i in range(30)]
+    data += [(200, f"{menu}\n{LONG}", "other"), (201, None, "h"), (202, data[1][1], "h"), (203, f"{menu}\r\n{LONG}\n", "h")]
+
+    def key(x):
+        return " ".join(WORD.findall(x)).translate({i: i + 32 for i in range(65, 91)})
+
+    docs_of, held = defaultdict(set), defaultdict(set)
+    for _, t, h in data:
+        docs_of[h].add(t or "")
+        for x in (t or "").split("\n"):
+            held[h, key(x)].add(t or "")
+    want, removed, depleted = Counter(), 0, 0
+    for i, t, h in data:
+        over = [bool(key(x)) and len(held[h, key(x)]) > max(20, 0.005 * len(docs_of[h])) for x in (t or "").split("\n")]
+        w = WORD.findall(t or "")
+        lost = sum(len(WORD.findall(x)) for x, o in zip((t or "").split("\n"), over) if o)
+        if len(w) >= 50 and lost > 0.7 * len(w):
+            depleted += 1
+        elif len(w) >= 50:
+            removed += any(over)
+            want[(i, "\n".join(x for x, o in zip(t.split("\n"), over) if not o), h)] += 1
+    got = quality.filtered(spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4))
+    assert Counter(map(tuple, got.collect())) == want
+    assert removed > 40 and depleted == 30
+
+
 def test_sharding(docs):
     found = sharding.sharded(docs).collect()
     text = {r[0]: r[1] for r in rows()}
