@@ -17,7 +17,7 @@ import gc
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ from .common import pieces, written
 END = 2
 REMEMBERED = 1_000_000  # parts that a worker remembers, some 200 MB; then it starts anew
 BROADCAST_TASKS = 1_000_000  # offsets of 16 bytes
+FLUSH = 1_000_000  # ids of a batch of pieces
 _encoders: dict = {}
 
 
@@ -126,27 +127,63 @@ def tokenized(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return written(here.mapInArrow(run, "task int, at long, doc_id long, n long, ids binary"), "tokens")
 
 
-def packed_pieces(docs: DataFrame, path: str, window: int = 4096, text: str = "text") -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each part of a document in a window."""
+def placed(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """doc_id, at (place of its first id in the whole stream), n, ids: one row per row of ``docs``."""
     tokens = tokenized(docs, path, text)
     totals = tokens.groupBy("task").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = totals.select("task", before.alias("base"))  # one row per task
     base = F.broadcast(base) if tokens.select("task").distinct().count() <= BROADCAST_TASKS else base
-    placed = tokens.join(base, "task").select("doc_id", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
+    return tokens.join(base, "task").select("doc_id", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
+
+
+def _cut(docs: DataFrame, path: str, window: int, text: str, last: str, kind: str, value: Callable[[bytes], object], column: Callable[[list], pa.Array]) -> DataFrame:
+    """The parts of documents in windows; ``value`` of a part's ids goes to the column ``last``, which ``column`` builds."""
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", last]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in names]
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:-1]), column(out[-1])], names)
+            for x in out:
+                x.clear()
+            return found
+
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                out: list[list] = [[] for _ in range(7)]
-                for doc, at, n, blob in zip(*(c.to_pylist() for c in batch.slice(i, 500).columns), strict=True):
-                    ids, start = _ids(blob), 0
-                    while start < n:
-                        sequence, offset = divmod(at + start, window)
-                        length = min(window - offset, n - start)
-                        for x, v in zip(out, (doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, sequence, offset), strict=True):
-                            x.append(v)
-                        start += length
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+            for doc, at, n, blob in (row for i in range(0, batch.num_rows, 500) for row in zip(*(c.to_pylist() for c in batch.slice(i, 500).columns), strict=True)):
+                ids, start = _ids(blob), 0
+                while start < n:
+                    sequence, offset = divmod(at + start, window)
+                    length = min(window - offset, n - start)
+                    for x, v in zip(out, (doc, start, length, n, sequence, offset, value(ids[4 * start : 4 * (start + length)])), strict=True):
+                        x.append(v)
+                    start += length
+                    held += length
+                    if held >= FLUSH:
+                        yield flush()
+                        held = 0
+        if out[0]:
+            yield flush()
+
+    return placed(docs, path, text).mapInArrow(cut, f"doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, {last} {kind}")
+
+
+def _lists(parts: list[bytes]) -> pa.Array:
+    stops = np.cumsum([0, *(len(x) // 4 for x in parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(stops), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+
+
+def packed_ids(docs: DataFrame, path: str, window: int = 4096, text: str = "text") -> DataFrame:
+    """doc_id, start, length, doc_tokens, sequence_id, offset, ids: one row for each part of a document in a window.
+
+    The ids of a sequence's rows one after another, by offset, are the packed sequence.
+    """
+    return _cut(docs, path, window, text, "ids", "array<int>", bytes, _lists)
+
+
+def packed_pieces(docs: DataFrame, path: str, window: int = 4096, text: str = "text") -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: ``packed_ids`` with a digest in place of the ids."""
+    found = _cut(docs, path, window, text, "ids_crc32", "long", zlib.crc32, lambda x: pa.array(x, pa.int64()))
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

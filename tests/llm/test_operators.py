@@ -111,6 +111,25 @@ def test_packing(docs):
     assert sum(n for _, n in spans) == sum(len(x) for v in ids.values() for x in v)
 
 
+def test_packed_ids_make_whole_sequences(docs, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "FLUSH", 100)
+    t = Tokenizer.from_file(entries.vocabulary())
+    found = sorted(packing.packed_ids(docs, entries.vocabulary(), window=64).collect(), key=lambda r: (r.sequence_id, r.offset))
+    sequences, own = defaultdict(list), []
+    for r in found:
+        assert len(r.ids) == r.length and r.offset == len(sequences[r.sequence_id])
+        sequences[r.sequence_id] += r.ids
+        if r.start == 0:
+            own.append([r.doc_id, []])
+        assert own[-1][0] == r.doc_id and len(own[-1][1]) == r.start
+        own[-1][1] += r.ids
+    assert [len(sequences[i]) for i in range(len(sequences) - 1)] == [64] * (len(sequences) - 1)
+    want = Counter((r.doc_id, (*t.encode(r.text or "", add_special_tokens=False).ids, 2)) for r in docs.collect())
+    assert Counter((i, tuple(x)) for i, x in own) == want
+
+
 def brute_components(texts, k):
     sets = {i: ({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())) for i, t in texts.items() if (w := (t or "").encode().lower().split()) is not None}
     root = {i: i for i in sets}
