@@ -7,8 +7,8 @@ weights are learned with the feature weights by stochastic gradients of the exac
 some are cut from two texts, so that the model meets code-switching. Forward-backward gives every word's posterior; a
 text's language has the largest mean posterior, which is its score.
 
-The model is fitted on the driver from a bounded sample of labelled rows: about ``per_lang`` documents for each of the
-``MAX_LANGS`` most frequent languages, chosen by a hash of their ids. Its size is fixed by ``BUCKETS`` and the sample.
+The model is fitted on the driver from a bounded sample of labelled rows: about ``per_lang`` documents for each
+language, chosen by a hash of their ids. Its size is ``BUCKETS`` floats for each language, and the sample's words.
 Prediction covers every word of every text.
 
 Defined results: a null text or one without letters is ``und`` with score 0; rows with a null id are predicted, never
@@ -32,7 +32,6 @@ from .common import mix, pieces
 
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
-MAX_LANGS = 64
 UNKNOWN = "und"
 HELD = 2  # of crc32(id) mod 4
 MEMO = 300_000  # words whose emissions a worker remembers
@@ -249,7 +248,7 @@ def held_out(doc_id: Column) -> Column:
 def sampled(docs: DataFrame, per_lang: int) -> list[tuple[str, str]]:
     """About ``per_lang`` (text, lang) pairs of each language, by a hash of the id; never a held-out row."""
     able = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
     if not counts:
         return []
     share = F.element_at(F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(per_lang / r["count"])))), F.col("lang"))

@@ -274,6 +274,12 @@ def test_language_id(spark):
     assert {r.doc_id: r.lang_pred for r in odd.collect()} | {3: 0} == {1: "und", 2: "und", 3: 0, None: odd.collect()[3].lang_pred}
 
 
+def test_every_label_is_learned_from(spark):
+    rows = [(i, f"word{i % 70} text", f"l{i % 70:02}") for i in range(1400)]
+    sample = langid.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=200)
+    assert {k for _, k in sample} == {k for *_, k in rows}
+
+
 def test_code_switching_is_labelled_by_word(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang in ('en', 'de') and length(text) > 600").limit(60)
     model = langid.fit([(r.text, r.lang) for r in df.collect()], steps=80)
