@@ -35,7 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mixing", mix_sources), ("packing", pack)]
 
-ORACLE_SQL = None  # hashes and a tokenizer decide; tests/llm holds the stages against brute force
+ORACLE_SQL = None  # hashes and a tokenizer decide; tests/llm holds quality rules and packing against brute force row by row, the rest by schema and totals
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
