@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NO_ID = -(2**63)  # stands for a null document id: smaller than every other id
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where ``spark.checkpoint.dir`` is unset."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="lamina-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return f"file://{_own[app]}"
-
+from ..sources.scratch import discard, written
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage ends here, and lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/lamina-{uuid.uuid4().hex}/{label}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+NO_ID = -(2**63)  # stands for a null document id: smaller than every other id
 
 
 def partitions(spark: SparkSession) -> int:
@@ -67,15 +46,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0xD6E8FEB86659FD93)
-_powers = np.ones(1, np.uint64)
+STEP = 2 << 20  # bytes of text that are hashed at a time: temporary arrays take some 60 times as much
+
+
+def _up_to(n: int) -> np.ndarray:
+    out = np.full(n, _BASE, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS = _up_to(1 << 12)
 
 
 def powers(n: int) -> np.ndarray:
     """The first ``n`` or more powers of an odd base modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        _powers = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(2 * n, _BASE, np.uint64))])
-    return _powers
+    return _POWERS if n <= len(_POWERS) else _up_to(n)
 
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,11 +82,35 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) ->
 
 
 def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of concatenated texts: start, end, row of the text, 64-bit hash."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of concatenated texts: start, end, row of the text, 64-bit hash.
+
+    Long texts are hashed in parts of ``STEP`` bytes that end at a white space or at a text's end.
+    """
+    found, at = [], 0
+    while at < len(data) or not found:
+        end = at + STEP
+        if end < len(data):
+            text_end = int(offsets[np.searchsorted(offsets, end)])
+            for a in range(end, text_end, STEP):
+                blank = SPACE[data[a : min(a + STEP, text_end)]]
+                if blank.any():
+                    text_end = a + int(blank.argmax())
+                    break
+            end = text_end
+        end = min(end, len(data))
+        inner = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, end)]
+        starts, ends, h = _words(np.r_[at, inner, end] - at, data[at:end], lower)
+        found.append((starts + at, ends + at, h))
+        at = end
+    starts, ends, h = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found, strict=True))
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1, h
+
+
+def _words(offsets: np.ndarray, data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     solid = ~SPACE[data]
     if not solid.any():
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64)
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
     head = solid.copy()
     head[1:] &= ~solid[:-1]
@@ -109,7 +118,6 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> t
     tail = solid.copy()
     tail[:-1] &= ~solid[1:] | head[1:]
     starts, ends = np.flatnonzero(head), np.flatnonzero(tail) + 1
-    rows = np.searchsorted(offsets, starts, "right") - 1
     lens = ends - starts
     at = np.cumsum(lens) - lens
     chars = data[solid]
@@ -117,10 +125,10 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> t
         chars = LOWER[chars]
     place = np.arange(len(chars)) - np.repeat(at, lens)
     h = np.add.reduceat(_BYTE[chars] * powers(int(lens.max()))[place], at)
-    return starts, ends, rows, mix(h + lens.astype(np.uint64))
+    return starts, ends, mix(h + lens.astype(np.uint64))
 
 
-def windows(rows: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(rows: np.ndarray, h: np.ndarray, k: int, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """Rabin-Karp hashes of every ``k`` consecutive words of one row: index of the first word, hash."""
     if len(h) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -128,33 +136,80 @@ def windows(rows: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     own = np.flatnonzero(rows[:n] == rows[k - 1 :])
     value = np.zeros(n, np.uint64)
     for j in range(k):
-        value = value * _BASE + h[j : j + n]
+        value = value * base + h[j : j + n]
     return own, mix(value[own])
 
 
-def packed(values: np.ndarray) -> bytes:
-    """64-bit integers with their bytes transposed and compressed: equal high bytes cost almost nothing."""
+def packed(values: np.ndarray, kind: str = "<u8") -> bytes:
+    """Integers with their bytes transposed and compressed: equal high bytes cost almost nothing."""
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
 
 
-def unpacked(blob: bytes) -> np.ndarray:
+def unpacked(blob: bytes, kind: str = "<u8") -> np.ndarray:
     import zstandard
 
     raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel()
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+# -- joins on keys that many rows have -----------------------------------------------------------------------------
+
+HOT_ROWS = 1000  # rows of a key that one task is given, at least
+MOST_HOT = 10_000  # keys that are broadcast, at most
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], n: str, total: int, salt: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row per key (none null) and in ``n`` how many rows of ``left`` have it.
+
+    ``total`` is the sum of ``n`` or more. A key with more than ``limit`` rows is dealt by ``salt``, a column of
+    ``left``, to as many tasks as it needs, however AQE is set. At most ``MOST_HOT`` keys can have so many: they are
+    broadcast.
+    """
+    limit = max(HOT_ROWS, total // MOST_HOT)
+    parts = F.expr(f"cast(if({n} > {limit}, {n} div {limit} + 1, 1) as int)")
+    hot = F.broadcast(right.where(F.col(n) > limit).select(*keys, parts.alias("__parts")))
+    dealt = left.join(hot, list(keys), "left").withColumn("__salt", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(salt), F.col("__parts")))).drop("__parts")
+    copied = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop(n)
+    return dealt.withColumn("__salt", F.col("__salt").cast("int")).join(copied, [*keys, "__salt"], how).drop("__salt")
+
+
+# -- rows by a filter of ids ---------------------------------------------------------------------------------------
+
+MAX_BITS = 1 << 28  # 32 MB
+
+
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` (id, ...) with ``__may``: false only where the id is not among ``ids`` (id).
+
+    A Bloom filter of one hash, broadcast, 4 KB for each 32768 bits: some 32 bits an id, ``MAX_BITS`` in all. Past
+    that size more others are true, so callers join with ``ids`` afterwards.
+    """
+    bits = int(min(MAX_BITS, max(1 << 15, 1 << (32 * ids.count()).bit_length())))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    cell = F.expr(f"pmod(xxhash64(id), {bits}L) div 32768").alias("__cell")
+    cells = ids.select(cell, (place % 32768).alias("bit")).groupBy("__cell").agg(F.bitmap_construct_agg("bit").alias("__bits"))
+    placed = docs.withColumns({"__cell": cell, "__bit": (place % 32768).cast("int")})
+    byte = F.expr("cast(conv(hex(substring(__bits, __bit div 8 + 1, 1)), 16, 10) as int)")
+    held = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, __bit % 8)")) != 0, F.lit(False))
+    return placed.join(F.broadcast(cells), "__cell", "left").withColumn("__may", held).drop("__cell", "__bit", "__bits")
+
+
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (id, ...) that ``marked`` lets through: all with an id of ``ids``, and few others."""
+    return marked(docs, ids).where("__may").drop("__may")
 
 
 # -- connected components -----------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of ``edges`` (a, b): the smallest id reachable.
 
     Alternating large-star and small-star steps; each step is a minimum with map-side combine and a join that
     adaptive execution can split, so a hub with very many links isn't gathered in one task. Every round is written
-    to the shared folder. Nothing but two sums for the stop test reaches the driver.
+    to the shared folder, and the one before it deleted. Nothing but two sums for the stop test reaches the driver.
     """
 
     def stars(e: DataFrame) -> DataFrame:
@@ -170,13 +225,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     seen = state(now)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
-        now = written(stars(now), "stars")
-        if (found := state(now)) == seen:
+    while seen[0]:
+        before, now = now, written(stars(now), "stars")
+        found = state(now)
+        discard(before)
+        if found == seen:
             break
         seen = found
-    else:
-        raise RuntimeError(f"components: not settled after {rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select("b", "b").distinct())

@@ -13,9 +13,12 @@ permutations there are 38 bands of 5: a pair at similarity 0.8 is missed with pr
    then those members on full sets. Nothing is emitted but members and one link for two components that meet.
 4. Components of all links.
 
-Defined results: no words or no text: empty set, linked with nothing; fewer words than a shingle: the whole sequence is
-the one shingle; a null id: on its own, component_id null and kept; rows that repeat an id have the id's component;
-empty input: empty output. Extra columns play no part.
+A class has a number of its own; documents' ids come in at the end, so classes that share a smallest id stay apart.
+
+Defined results: no words or no text: empty set, on its own, component_id its id; fewer words than a shingle: the whole
+sequence is the one shingle; a null id: on its own, component_id null and kept; rows that repeat an id are one document
+that holds all their sets: they and what they link with have one component; empty input: empty output. Extra columns
+play no part. Whole texts are hashed however long they are; a text of b bytes takes some 60 * b bytes in its task.
 """
 
 from __future__ import annotations
@@ -27,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, components, mix, packed, pieces, unpacked, utf8, word_hashes, written
+from .common import _BASE, components, discard, hot_join, likely, marked, mix, packed, pieces, unpacked, utf8, word_hashes, written
 
 PERMS = 95
 ROWS = 5
+BANDS = 2 * PERMS // ROWS
+CLASS = ["set1", "set2", "n_shingles"]
 BLOCK = 512  # members of a bucket that are compared at a time
 WIDE = 1024  # the same, by signature bytes
-MAX_BITS = 1 << 28  # 32 MB, of the filter of ids whose sets are fetched
 CLOSE = 0.66  # similarity by signature bytes from which full sets are compared
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,7 +67,7 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndar
 def bands(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Of ``n`` texts that all have shingles: band keys, min bands then max bands; a byte of each signature value."""
     starts = np.searchsorted(row, np.arange(n))
-    out = np.zeros((n, 2 * PERMS // ROWS), np.uint64)
+    out = np.zeros((n, BANDS), np.uint64)
     sketch = np.zeros((n, 2 * PERMS), np.uint8)
     for p in range(PERMS):
         drawn = (value * _A[p] + _B[p]) >> np.uint64(32)
@@ -84,12 +88,9 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 row, value = shingle_sets(*utf8(part.column("text")), k)
                 size = np.bincount(row, minlength=n)
                 full = np.flatnonzero(size)
-                sums = np.zeros((2, n), np.uint64)
-                keys, sketch = np.zeros((0, 2 * PERMS // ROWS), np.uint64), [b""] * n
+                sums = set_sums(row, value, full, n)
+                keys, sketch = np.zeros((0, BANDS), np.uint64), [b""] * n
                 if len(full):
-                    starts = np.searchsorted(row, full)
-                    for i in range(2):
-                        sums[i, full] = np.add.reduceat(mix(value + np.uint64(i + 1)), starts)
                     keys, found = bands(np.searchsorted(full, row), value, len(full))
                     for i, x in zip(full, found, strict=True):
                         sketch[i] = x.tobytes()
@@ -103,35 +104,33 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return here.mapInArrow(run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, sketch binary")
 
 
-def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (id, ...) whose id has its bit among those of ``ids`` (id): all of theirs, and few others.
-
-    The bits are broadcast, 4 KB for each 32768: some 32 bits an id, ``MAX_BITS`` in all. Past that size more others
-    pass, so callers join with ``ids`` afterwards.
-    """
-    bits = int(min(MAX_BITS, max(1 << 15, 1 << (32 * ids.count()).bit_length())))
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    at = ids.select(F.expr(f"pmod(xxhash64(id), {bits}L) div 32768").alias("__cell"), (place % 32768).alias("bit"))
-    cells = at.groupBy("__cell").agg(F.bitmap_construct_agg("bit").alias("__bits"))
-    placed = docs.withColumns({"__cell": F.expr(f"pmod(xxhash64(id), {bits}L) div 32768"), "__bit": (place % 32768).cast("int")})
-    byte = F.expr("cast(conv(hex(substring(__bits, __bit div 8 + 1, 1)), 16, 10) as int)")
-    held = placed.join(F.broadcast(cells), "__cell").where(byte.bitwiseAND(F.expr("shiftleft(1, __bit % 8)")) != 0)
-    return held.drop("__cell", "__bit", "__bits")
+def set_sums(row: np.ndarray, value: np.ndarray, full: np.ndarray, n: int) -> np.ndarray:
+    """Two 64-bit hashes of each of ``n`` sets, 0 for those not in ``full``."""
+    sums = np.zeros((2, n), np.uint64)
+    if len(full):
+        starts = np.searchsorted(row, full)
+        for i in range(2):
+            sums[i, full] = np.add.reduceat(mix(value + np.uint64(i + 1)), starts)
+    return sums
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) for the documents in ``ids`` (id, all different): their full sets, compressed. No text shuffles."""
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) for the classes ``wanted`` (``CLASS``, doc_id, id): their full sets, compressed. No text shuffles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
+                n = part.num_rows
                 row, value = shingle_sets(*utf8(part.column("text")), k)
-                cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+                size = np.bincount(row, minlength=n)
+                sums = set_sums(row, value, np.flatnonzero(size), n)
+                cut = np.searchsorted(row, np.arange(n + 1))
                 blobs = [packed(np.diff(value[a:b], prepend=np.uint64(0))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(blobs, pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(x.view(np.int64)) for x in sums), pa.array(size.astype(np.int64)), pa.array(blobs, pa.binary())], ["doc_id", *CLASS, "shingles"])
 
-    here = likely(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")), ids).select("id", "text")
-    return here.mapInArrow(run, "id long, shingles binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    here = likely(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")), wanted.select(F.col("doc_id").alias("id"))).select("id", "text")
+    found = here.mapInArrow(run, "doc_id long, set1 long, set2 long, n_shingles long, shingles binary")
+    return found.join(wanted, ["doc_id", *CLASS]).select("id", "shingles").dropDuplicates(["id"])  # equal sets of one id
 
 
 def _set(blob: bytes) -> np.ndarray:
@@ -231,45 +230,74 @@ def full_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return in_blocks(members, BLOCK).join(sets, "id").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def clusters(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    rows = written(signatures(docs, k), "signatures")
-    known = rows.where("doc_id is not null and n_shingles > 0")
-    classes = written(known.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    lead = known.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    flat = lead.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
-    buckets = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(flat.join(buckets, "key"), "members")
+def class_links(docs: DataFrame, known: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Written: (id, component) of the classes that anything links."""
+    most = BANDS * classes.count()
+    own = known.join(classes.select(*CLASS, "doc_id", "id"), ["doc_id", *CLASS]).dropDuplicates(["doc_id", *CLASS])  # of equal rows
+    flat = own.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
+    buckets = written(flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = written(hot_join(flat, buckets.withColumn("m", F.col("n")), ["key"], "m", most, "id"), "members")
 
     score = members.groupBy("id").agg(F.sum("n").alias("score"))
-    ranked = members.join(score, "id")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("id"), "size")).alias("x")).select("key", (-F.col("x.id")).alias("a"), F.col("x.size").alias("size_a"))
-    met = members.join(leaders, "key").where(f"id <> a and 100 * least(size, size_a) >= {percent} * greatest(size, size_a)")
+    best = members.join(score, "id").groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("id"), "size")).alias("x"), F.max("n").alias("m"))
+    leaders = written(best.select("key", "m", (-F.col("x.id")).alias("a"), F.col("x.size").alias("size_a")), "leaders")
+    met = hot_join(members, leaders, ["key"], "m", most, "id").where(f"id <> a and 100 * least(size, size_a) >= {percent} * greatest(size, size_a)")
     pairs = written(met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
 
-    ids = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "ids")
-    sets = written(sets_of(docs, ids, k), "sets")
-    links = written(verified(pairs, sets, percent), "verified")
+    def fetched(ids: DataFrame) -> DataFrame:
+        return sets_of(docs, classes.select("id", "doc_id", *CLASS).join(ids, "id", "left_semi"), k)
+
+    sets = written(fetched(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()), "sets")
+    links = written(verified(pairs, sets, percent).unionAll(same_id(known, classes)), "verified")
     comps = written(components(links), "components")
+    discard(buckets, leaders, pairs, sets)
 
     placed = members.where("n > 2").join(comps, "id", "left").select("key", "id", "size", "n", F.coalesce("component", "id").alias("comp"))
-    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = written(placed.join(several, "key"), "rest")
-    near = written(close_members(rest, lead.select(F.col("doc_id").alias("id"), "sketch"), percent), "near")
+    several = written(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("n").alias("m")).where("lo <> hi").select("key", "m"), "several")
+    rest = written(hot_join(placed, several, ["key"], "m", most, "id"), "rest")
+    near = written(close_members(rest, own.select("id", "sketch"), percent), "near")
     if near.limit(1).count():
         some = near.groupBy("key").agg(F.count("*").alias("n"))
         held = rest.drop("n").join(near, ["key", "id"]).join(some, "key").select("key", "id", "comp", "n")
-        more = written(full_buckets(held, sets_of(docs, written(near.select("id").distinct(), "near_ids"), k), percent), "more")
+        more = written(full_buckets(held, fetched(near.select("id").distinct()), percent), "more")
         if more.limit(1).count():
             comps = written(components(links.unionAll(more)), "components")
+    discard(members, several, rest, near, links)
+    return comps
 
-    of_class = classes.join(comps, "id", "left").select("set1", "set2", "n_shingles", F.coalesce("component", "id").alias("c"))
-    out = rows.drop("bands", "sketch").join(of_class, ["set1", "set2", "n_shingles"], "left")
-    comp = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id")).select("*", (F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).alias("kept"))
+
+def same_id(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that have one id and different texts."""
+    several = known.groupBy("doc_id").agg(*(f("set1").alias(f"{f.__name__}1") for f in (F.min, F.max)), *(f("set2").alias(f"{f.__name__}2") for f in (F.min, F.max))).where("min1 <> max1 or min2 <> max2").select("doc_id")
+    of_id = known.select("doc_id", *CLASS).join(several, "doc_id", "left_semi").distinct().join(classes.select(*CLASS, "id"), CLASS)
+    first = of_id.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return of_id.join(first, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
+def clusters(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    rows = written(signatures(docs, k), "signatures")
+    known = rows.where("doc_id is not null and n_shingles > 0")
+    classes = written(known.groupBy(*CLASS).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    comps = class_links(docs, known, classes, k, percent)
+
+    # the smallest document of each component, then of each class
+    rooted = classes.join(comps, "id", "left").withColumn("root", F.coalesce("component", "id"))
+    least = written(rooted.groupBy("root").agg(F.min("doc_id").alias("c"), F.count("*").alias("m")), "least")
+    of_class = hot_join(rooted.select(*CLASS, "n", "id", "root"), least, ["root"], "m", classes.count(), "id")
+    of_class = written(of_class.select(*CLASS, "n", "c"), "of_class")
+    found = hot_join(known.select("doc_id", *CLASS), of_class, CLASS, "n", rows.count(), "doc_id").select("doc_id", "n_shingles", F.col("c").alias("component_id"))
+    alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    discard(classes, least)
+    return found.unionAll(alone).withColumn("kept", F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id")))
 
 
 def kept(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group; rows without an id stay."""
-    gone = clusters(docs.select("doc_id", "text"), k, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of ``docs`` that stay, one document of each group; rows without an id stay.
+
+    Only rows whose id may be that of a copy shuffle.
+    """
+    gone = written(clusters(docs.select("doc_id", "text"), k, percent).where("not kept").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    own = [f"c{i}" for i in range(len(docs.columns))]  # clashing names can't meet here
+    here = marked(docs.toDF(*own).withColumn("id", F.col(own[docs.columns.index("doc_id")]).cast("long")), gone)
+    return here.where("not __may").unionAll(here.where("__may").join(gone, "id", "left_anti").select(here.columns)).select(*own).toDF(*docs.columns)
