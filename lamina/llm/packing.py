@@ -13,7 +13,6 @@ Defined results: a null or empty text is its end id alone; repeated rows are pac
 from __future__ import annotations
 
 import codecs
-import gc
 import unicodedata
 import zlib
 from array import array
@@ -28,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import pieces, written
 
 END = 2
-REMEMBERED = 1_000_000  # parts that a worker remembers, some 200 MB; then it starts anew
+REMEMBERED = 48 << 20  # bytes of parts and ids, with what their objects take, that a worker remembers; then it starts anew
+ENTRY = 180  # bytes of two objects and their place in a dictionary
 BROADCAST_TASKS = 1_000_000  # offsets of 16 bytes
 FLUSH = 1_000_000  # ids of a batch of pieces
 _encoders: dict = {}
@@ -45,7 +45,8 @@ class Encoder(dict):
     """From white-space separated parts of a text to their ids as little-endian 32-bit bytes, remembered.
 
     A part of letters, or of letters and then ASCII punctuation without an apostrophe, is one or two words of the
-    tokenizer's pattern; its model gets them directly. Any other part goes through the whole tokenizer.
+    tokenizer's pattern; its model gets them directly, in lower case. Any other part goes through the whole tokenizer
+    as it came: special tokens are told by case, and capitals compose with marks that their small letters don't.
     """
 
     PUNCTUATION = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>")
@@ -57,20 +58,24 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, "".join(byte_letters())
         self.runs: dict[bytes, bytes] = {}
+        self.held = 0
         normal, split = self.tokenizer.normalizer.normalize_str("A\u00c9"), self.tokenizer.pre_tokenizer.pre_tokenize_str("ab,\u00e9")
         self.direct = normal == "a\u00e9" and [x for x, _ in split] == ["ab", ",", codecs.charmap_decode("\u00e9".encode(), "strict", self.letters)[0]]
 
     def run(self, word: bytes) -> bytes:
         found = array("I", [t.id for t in self.model.tokenize(codecs.charmap_decode(word, "strict", self.letters)[0])]).tobytes()
         self.runs[word] = found
+        self.held += len(word) + len(found) + ENTRY
         return found
 
     def __missing__(self, part: bytes) -> bytes:
+        if self.held > REMEMBERED:  # also within a text
+            self.forget()
         core = part.rstrip(self.PUNCTUATION)
         tail, word = part[len(core) :], b""
         if self.direct and core:
             if core.isascii():
-                word = core if core.isalpha() else b""
+                word = core.lower() if core.isalpha() else b""
             elif unicodedata.is_normalized("NFC", text := core.decode()) and "\u03a3" not in text and (low := text.lower()).isalpha():
                 word = low.encode()
         if word:
@@ -79,13 +84,15 @@ class Encoder(dict):
         else:
             found = array("I", self.tokenizer.encode(part.decode(), add_special_tokens=False).ids).tobytes()
         self[part] = found
+        self.held += len(part) + len(found) + ENTRY
         return found
 
+    def forget(self) -> None:
+        self.clear(), self.runs.clear()
+        self.held = 0
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self) + len(self.runs) > REMEMBERED:
-            self.clear(), self.runs.clear()
-        gc.disable()  # else every collection walks all that is remembered
-        return [b"".join(map(self.__getitem__, (t or "").encode("utf-8", "replace").lower().split())) for t in texts]
+        return [b"".join(map(self.__getitem__, (t or "").encode("utf-8", "replace").split())) for t in texts]
 
 
 def encoder(path: str) -> Encoder:
@@ -122,6 +129,7 @@ def tokenized(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), task, np.int32)), pa.array(at + np.cumsum(n) - n), part.column("doc_id"), pa.array(n), pa.array(map(_squeezed, ids), pa.binary())], ["task", "at", "doc_id", "n", "ids"])
                 at += int(n.sum())
+        encode.forget()  # the worker lives on and serves other stages
 
     here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     return written(here.mapInArrow(run, "task int, at long, doc_id long, n long, ids binary"), "tokens")
