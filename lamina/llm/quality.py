@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, mix, pieces, powers, utf8, windows, word_hashes, written
+from .common import NO_ID, SPACE, hot_join, mix, pieces, powers, utf8, windows, word_hashes, written
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -33,16 +33,15 @@ def stats(offsets: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray | list]
     n = len(offsets) - 1
     starts, ends, rows, words = word_hashes(offsets, data)
     lowered = word_hashes(offsets, data, lower=True)[3]
-    inside = np.zeros(len(data) + 1, np.int64)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends, -1)
-    first_bytes = (data & 0xC0) != 0x80
+    full = np.flatnonzero(offsets[:-1] < offsets[1:])
 
     def per_text(mask: np.ndarray) -> np.ndarray:
-        total = np.r_[0, np.cumsum(mask)]
-        return total[offsets[1:]] - total[offsets[:-1]]
+        total = np.zeros(n, np.int64)
+        if len(full):
+            total[full] = np.add.reduceat(mask, offsets[full], dtype=np.int64)
+        return total
 
-    out: dict = {"n_words": np.bincount(rows, minlength=n), "word_chars": per_text((np.cumsum(inside)[:-1] > 0) & first_bytes), "n_symbols": per_text(SYMBOLS[data])}
+    out: dict = {"n_words": np.bincount(rows, minlength=n), "word_chars": per_text(((data & 0xC0) != 0x80) & ~SPACE[data]), "n_symbols": per_text(SYMBOLS[data])}
 
     # words covered by 3-word windows that the text has twice or more
     at, h = windows(rows, words, 3)
@@ -66,20 +65,15 @@ def stats(offsets: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray | list]
     key = mix(np.add.reduceat(lowered * powers(int(n_words.max()) if len(n_words) else 1)[place], head) + n_words.astype(np.uint64)) if len(head) else np.zeros(0, np.uint64)
     stop = np.r_[cuts[1:], len(data)][line[head]] if len(head) else head
     stop = stop - (data[stop - 1] == 10) if len(head) else stop  # without its \n
-    size = stop - begin
-    if len(head):
-        at = np.cumsum(size) - size
-        spot = np.arange(int(size.sum())) - np.repeat(at, size)
-        raw = mix(np.add.reduceat(_BYTE[data[np.repeat(begin, size) + spot]] * powers(int(size.max()))[spot], at) + size.astype(np.uint64) * _BASE)
-        order = np.lexsort((raw, row))
-        again = np.r_[False, (raw[order][1:] == raw[order][:-1]) & (row[order][1:] == row[order][:-1])]
-        out["n_dup_lines"] = np.bincount(row[order[again]], minlength=n)
-    else:
-        out["n_dup_lines"] = np.zeros(n, np.int64)
+    plain = data.tobytes()
+    raw = np.array([xxhash.xxh3_64_intdigest(plain[a:b]) for a, b in zip(begin, stop, strict=True)], np.uint64)
+    order = np.lexsort((raw, row))
+    again = np.r_[False, (raw[order][1:] == raw[order][:-1]) & (row[order][1:] == row[order][:-1])][: len(raw)]
+    out["n_dup_lines"] = np.bincount(row[order[again]], minlength=n)
     bounds = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
     out["lines"] = pa.ListArray.from_arrays(bounds, pa.array(key.view(np.int64)))
     out["line_words"] = pa.ListArray.from_arrays(bounds, pa.array(n_words.astype(np.int32)))
-    out["content"] = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64).view(np.int64)
+    out["content"] = np.array([xxhash.xxh3_64_intdigest(plain[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64).view(np.int64)
     return out
 
 
@@ -98,17 +92,22 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
     return here.mapInArrow(run, f"doc_id long, host string, {_OUT}")
 
 
-def judged(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.005, max_lost: float = 0.7) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.005, max_lost: float = 0.7, distinct: str = "content") -> DataFrame:
     """Per row of ``docs``: doc_id, the base counts, base_failed, kept, lost_words (in removed lines), rid, over_lines.
 
     ``over_lines`` are the places of the lines to remove among the text's lines with a word, from 0; null if none is.
+    ``distinct`` says what tells two documents of a host apart: their ``content``, or their ``doc_id``.
     """
-    base = written(measured(docs, host).withColumn("host", F.concat(F.when(F.col("host").isNull(), "0").otherwise("1"), F.coalesce("host", F.lit("")))).withColumn("rid", F.monotonically_increasing_id()), "measured")
-    hosts = base.groupBy("host").agg(F.countDistinct("content").alias("n_docs"))
-    lines = base.select("rid", "host", "content", F.posexplode(F.arrays_zip("lines", "line_words")).alias("place", "x")).select("rid", "host", "content", "place", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    held = lines.groupBy("host", "line").agg(F.countDistinct("content").alias("n")).where(F.col("n") > min_docs)
-    over = held.join(hosts, "host").where(F.col("n") > F.col("n_docs") * share).select("host", "line")
-    lost = lines.join(over, ["host", "line"]).groupBy("rid").agg(F.sum("words").alias("lost"), F.collect_list("place").alias("over_lines"))
+    named = F.concat(F.when(F.col("host").isNull(), "0").otherwise("1"), F.coalesce("host", F.lit("")))
+    base = written(measured(docs, host).withColumn("host", named).withColumn("rid", F.monotonically_increasing_id()), "measured")
+    told = F.coalesce(F.col(distinct), F.lit(NO_ID)).alias("told")
+    hosts = base.groupBy("host").agg(F.countDistinct(told).alias("n_docs"))
+    flat = base.select("rid", "host", told, F.posexplode(F.arrays_zip("lines", "line_words")).alias("place", "x"))
+    lines = flat.select("rid", "host", "told", "place", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    held = lines.groupBy("host", "line").agg(F.countDistinct("told").alias("n"), F.count("*").alias("m")).where(F.col("n") > min_docs)
+    over = written(held.join(hosts, "host").where(F.col("n") > F.col("n_docs") * share).select("host", "line", "m"), "over")
+    total = over.agg(F.sum("m")).first()[0] or 0
+    lost = hot_join(lines, over, ["host", "line"], "m", total, "rid").groupBy("rid").agg(F.sum("words").alias("lost"), F.collect_list("place").alias("over_lines"))
     both = base.drop("content", "lines", "line_words").join(lost, "rid", "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     lost_words = F.coalesce(F.col("lost"), F.lit(0)).cast("long")
@@ -131,7 +130,7 @@ def filtered(docs: DataFrame, **how) -> DataFrame:
     own = [f"c{i}" for i in range(len(docs.columns))]
     place = {c: own[i] for i, c in enumerate(docs.columns)}
     text = place["text"]
-    keyed = written(docs.toDF(*own).withColumn("__rid", F.monotonically_increasing_id()), "rows")
+    keyed = written(docs.toDF(*own).withColumn("__rid", F.monotonically_increasing_id()), "rows")  # numbered once for all
     host = how.pop("host", "source")
     view = keyed.select(F.col("__rid").alias("doc_id"), F.col(text).alias("text"), F.col(place[host]).alias("host"))
     kept = judged(view, host="host", **how).where("kept").select(F.col("doc_id").alias("__rid"), F.col("over_lines").alias("__over"))
