@@ -7,11 +7,13 @@
 3. The merged *twice* filter is broadcast; its size is bounded by ``MAX_BITS``, whatever the corpus. Beyond the size
    that the corpus would need, more keys pass by chance and shuffle; the result is the same.
 4. Suspects shuffle as (128-bit key, document): documents per key and the document that keeps its lines are exact.
-5. Each document is joined to the keys that it loses.
+5. Documents that may lose a line, by a filter of ids, are joined to the keys that they lose; others don't shuffle.
 
-Defined results: a null or empty text is one empty line. A null id counts as one document below all others. Rows that
-repeat an id are one document for the counts; each row is treated and returned. Keys shorter than ``min_chars`` are
-never dropped. Extra columns stay, whatever their names.
+Defined results: a null or empty text is one empty line. Rows with a null id and one text are one document, below all
+that have an id; the text's hash stands for the id, so they don't meet under one key. Rows that repeat an id are one
+document for the counts; each row is treated and returned. Of equal ids no line is dropped for the other's sake. Keys
+shorter than ``min_chars`` are never dropped. An empty table gives an empty one. Extra columns stay, whatever their
+names. Long texts are split whole, in some 10 times their size.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, id_or_least, mix, pieces, partitions, text_bytes
+from .common import SPACE, discard, hot_join, marked, mix, pieces, partitions, text_bytes, written
 
 MAX_BITS = 1 << 28  # 32 MB for a filter
 SEGMENTS = 256
@@ -34,6 +36,11 @@ HASHES = 2
 SPACES = b"\t\n\x0b\x0c\r "
 
 
+def document() -> Column:
+    """A number that equal documents share; a text's stands for a null id, and may meet another's id."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
 def line_keys(text: str | None, min_chars: int) -> list[bytes | None]:
     """The 128-bit key of each line, None for one shorter than ``min_chars``."""
     out: list[bytes | None] = []
@@ -102,7 +109,7 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"segment": [s for s, _ in found], "bits": [b for _, b in found]}, pa.schema([("segment", pa.int32()), ("bits", pa.binary())]))
 
     n = min(SEGMENTS, partitions(docs.sparkSession))
-    parts = docs.select(id_or_least().alias("id"), F.col("text")).mapInArrow(seen, "segment int, once binary, twice binary")
+    parts = docs.select(document().alias("id"), F.col("text")).mapInArrow(seen, "segment int, once binary, twice binary")
     rows = parts.repartition(n, "segment").mapInArrow(merged, "segment int, bits binary").collect()  # SEGMENTS rows, bits / 8 bytes in all
     out = np.zeros(bits // 8, np.uint8)
     for s, x in rows:
@@ -111,52 +118,54 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
 
 
 def dropped_keys(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: int | None = None) -> DataFrame:
-    """(id, keys): for each document that loses lines, the keys it loses."""
+    """Written: (named, id, keys), for each document that loses lines (``named``: 0 where ``id`` stands for a null) its lost keys."""
     bits = bits or filter_bits(text_bytes(docs))
     twice = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, min_chars, bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = twice.value
+        kinds = pa.schema([("key", pa.binary()), ("named", pa.int32()), ("id", pa.int64())])
         for batch in batches:
             for part in pieces(batch):
-                keys, ids = [], []
-                for doc, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                keys, rows = [], []
+                for i, text in enumerate(part.column("text").to_pylist()):
                     own = {k for k in line_keys(text, min_chars) if k}
                     keys += own
-                    ids += [doc] * len(own)
+                    rows += [i] * len(own)
                 if keys:
                     at = positions(np.frombuffer(b"".join(keys), "<u8")[::2], bits)
                     hit = np.flatnonzero(((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1))
-                    yield pa.RecordBatch.from_pydict({"key": [keys[i] for i in hit], "id": [ids[i] for i in hit]}, pa.schema([("key", pa.binary()), ("id", pa.int64())]))
-
-    found = docs.select(id_or_least().alias("id"), F.col("text")).mapInArrow(suspects, "key binary, id long").distinct()
-    common = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = found.join(common.select("key", "keeper"), "key").where("id <> keeper")
-    return lost.groupBy("id").agg(F.collect_set("key").alias("keys"))
+                    of = pa.array([rows[i] for i in hit], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.binary()), part.column("named").take(of), part.column("id").take(of)], schema=kinds)
+
+    here = docs.select(F.col("doc_id").isNotNull().cast("int").alias("named"), document().alias("id"), F.col("text"))
+    found = written(here.mapInArrow(suspects, "key binary, named int, id long").distinct(), "suspects")
+    common = written(found.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("named", "id")).alias("keeper")).where(F.col("n") >= min_docs), "common")
+    lost = hot_join(found, common, ["key"], "n", found.count(), "id").where("struct(named, id) <> keeper")
+    out = written(lost.groupBy("named", "id").agg(F.collect_set("key").alias("keys")), "lost")
+    discard(found, common)
+    twice.unpersist()
+    return out
 
 
 def apply_lines(docs: DataFrame, lost: DataFrame, min_chars: int, digest: bool) -> DataFrame:
     """The rows of ``docs`` without the lines in ``lost``: texts as they stay, or their counts and digests."""
-    id_column = docs.columns.index("doc_id")
     own = [f"c{i}" for i in range(len(docs.columns))]  # clashing names can't meet here
-    plain = docs.toDF(*own)
-    here = plain.withColumn("__id", F.coalesce(F.col(own[id_column]).cast("long"), F.lit(-(2**63))))
-    text = own[docs.columns.index("text")]
-    if digest:
-        here = here.select("__id", F.col(own[id_column]).alias("doc_id"), F.col(text).alias("text"))
-    both = here.join(lost.select(F.col("id").alias("__id"), F.col("keys").alias("__keys")), "__id", "left").drop("__id")
+    place = {c: own[i] for i, c in enumerate(docs.columns)}
+    text = place["text"]
+    here = docs.withColumns({"__named": F.col("doc_id").isNotNull().cast("int"), "__id": document()}).toDF(*own, "named", "id")
     if digest:
-        out = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
-        both = both.withColumn("doc_id", F.col("doc_id").cast("long"))
-    else:
-        out = both.drop("__keys").schema
-    name = "text" if digest else text
+        here = here.select(F.col(place["doc_id"]).cast("long").alias("doc_id"), F.col(text).alias("text"), "named", "id")
+        text = "text"
+    here = marked(here, lost.select("id"))
+    met = here.where("__may").join(lost, ["named", "id"], "left").select(*here.columns, "keys")
+    both = met.unionAll(here.where("not __may").withColumn("keys", F.lit(None).cast("array<binary>"))).drop("named", "id", "__may")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, name):
-                texts, n, gone = part.column(name).to_pylist(), [], []
-                for i, keys in enumerate(part.column("__keys").to_pylist()):
+            for part in pieces(batch, text):
+                texts, n, gone = part.column(text).to_pylist(), [], []
+                for i, keys in enumerate(part.column("keys").to_pylist()):
                     if digest:
                         n.append(texts[i].count("\n") + 1 if texts[i] else 1)
                     kept = None
@@ -170,9 +179,10 @@ def apply_lines(docs: DataFrame, lost: DataFrame, min_chars: int, digest: bool)
                     sha = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
                 else:
-                    at = part.schema.get_field_index(name)
-                    yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type)).drop_columns(["__keys"])
+                    at = part.schema.get_field_index(text)
+                    yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type)).drop_columns(["keys"])
 
+    out = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" if digest else both.drop("keys").schema
     done = both.mapInArrow(cut, out)
     return done if digest else done.toDF(*docs.columns)
 
