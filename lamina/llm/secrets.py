@@ -1,16 +1,18 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Texts are scanned for three base kinds and for other opaque tokens. Every candidate's value is hashed; per hash the
-distinct repositories (documents) and owners (sources) that hold it are counted. A value that many owners hold is an
-example that everyone copies; one that stays with ``max_owners`` owners and ``max_repos`` repositories looks like
-somebody's live credential. Base spans are always reported; an opaque token becomes a span of kind ``owned`` only if
-its value is owner-specific.
+distinct repositories (documents) and owners (sources) that hold it are counted. A value that more than ``max_owners``
+owners hold is an example that everyone copies; one that stays with so many looks like somebody's live credential,
+however many repositories of theirs hold it (``max_repos`` bounds them too, if given). Base spans are always reported;
+an opaque token becomes a span of kind ``owned`` only if its value is owner-specific.
 
 Base kinds (fixed values): assign, access, hex; leftmost non-overlapping matches, the short ones dropped afterwards.
 Spans are whole matches in code points, end exclusive.
 
-Defined results: a null text is empty; a null owner is one more owner; a null id counts as one repository; rows that
-repeat an id are one repository for the counts, and each is returned with its own spans.
+Defined results: a null or empty text has no spans; a null owner is one more owner; a null id counts as one repository;
+rows that repeat an id are one repository for the counts, whoever their owners are, and each is returned with its own
+spans; of candidates with one start, kinds come as listed; an empty table gives an empty one; extra columns play no
+part. Whole texts are scanned however long they are, in time and memory that grow with their length.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import NO_ID, hot_join, pieces, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -55,9 +57,12 @@ def spans(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
-    base = sorted((s, e) for s, _, e, _ in found)
+    base, i, reach = sorted((s, e) for s, _, e, _ in found), 0, 0  # reach: how far those that start before m ends go
     for m in OPAQUE.finditer(text):
-        if opaque(m[0]) and not any(s < m.end() and m.start() < e for s, e in base):
+        while i < len(base) and base[i][0] < m.end():
+            reach = max(reach, base[i][1])
+            i += 1
+        if reach <= m.start() and opaque(m[0]):
             found.append((m.start(), 3, m.end(), m[0]))
     return sorted(found)
 
@@ -86,20 +91,24 @@ def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_repos, n_owners over the rows of ``candidates``: both counts combine on the map side, key by key."""
-    flat = found.select("doc_id", F.concat(F.when(F.col("owner").isNull(), "0").otherwise("1"), F.coalesce("owner", F.lit(""))).alias("owner"), F.explode(F.array_distinct(F.col("found.hash"))).alias("hash"))
-    repos = flat.groupBy("hash", "owner", F.coalesce("doc_id", F.lit(-(2**63))).alias("repo")).agg(F.lit(1))
-    by_owner = repos.groupBy("hash", "owner").agg(F.count("*").alias("n"))  # a repository has one owner
-    return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
+    """hash, n_repos, n_owners, n_rows over the rows of ``candidates``: all counts combine on the map side, key by key."""
+    owner = F.concat(F.when(F.col("owner").isNull(), "0").otherwise("1"), F.coalesce("owner", F.lit("")))
+    flat = found.where(F.size("found") > 0).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("repo"), owner.alias("owner"), F.explode("found.hash").alias("hash"))
+    pairs = flat.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
+    counted = [pairs.groupBy("hash", c).agg(F.sum("n").alias("n")).groupBy("hash").agg(F.count("*").alias(f"n_{c}s"), F.sum("n").alias("n_rows")) for c in ("repo", "owner")]
+    return counted[0].join(counted[1].drop("n_rows"), "hash")
 
 
-def scanned(docs: DataFrame, owner: str = "source", max_owners: int = 1, max_repos: int = 20) -> DataFrame:
+def scanned(docs: DataFrame, owner: str = "source", max_owners: int = 1, max_repos: int | None = None) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example (candidates by verdict)."""
     rows = candidates(docs, owner)
-    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
-    verdict = ownership(rows).select("hash", live.alias("live"))
+    live = F.col("n_owners") <= max_owners
+    if max_repos is not None:
+        live = live & (F.col("n_repos") <= max_repos)
+    verdict = written(ownership(rows).select("hash", live.alias("live"), "n_rows"), "verdicts")
     flat = rows.where(F.size("found") > 0).select("rid", F.explode("found").alias("x")).select("rid", "x.start", "x.kind", "x.end", F.col("x.hash").alias("hash"))
-    held = flat.join(verdict, "hash").groupBy("rid").agg(
+    total = verdict.agg(F.sum("n_rows")).first()[0] or 0
+    held = hot_join(flat, verdict, ["hash"], "n_rows", total, "rid").groupBy("rid").agg(
         F.collect_list(F.when((F.col("kind") < 3) | F.col("live"), F.struct("start", "kind", "end"))).alias("s"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example")
     )
     name = F.array(*map(F.lit, KINDS))
