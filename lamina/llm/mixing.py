@@ -8,12 +8,15 @@ that source names the block (round and round, three passes at most). Ranks and o
 bucket, so no task holds a source.
 
 Integers decide everything after the targets, and hashes of ids and contents order the documents, not where their rows
-lie, so reruns agree. Defined results: a null text has no words; a document or
-source without words is taken 0 times; repeated rows are documents of their own.
+lie, so reruns agree. Defined results: a null or empty text has no words; a document or source without words is taken
+0 times; a null source is one source more, a null id one id more; repeated rows are documents of their own, equal ones
+in any order; an empty table gives an empty one; extra columns play no part in ``mixed`` and stay in ``drawn_texts``,
+whatever their names. A text of any length is one document, cut where a block ends.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +30,7 @@ PASSES = 3
 WORDS = r"[^\x20\x09-\x0D]+"
 GOLDEN = 2654435769  # 2**32 / golden ratio, odd
 CHUNK = 1 << 16  # slots that are ranked together
-BUCKETS = 512  # of a source's documents, by hash
+MEAN_BUCKET = 50_000  # documents of the largest source that are ordered together; buckets are 512 at least
 MOST_SLOTS = 1 << 26
 BROADCAST_SOURCES = 100_000
 
@@ -45,7 +48,7 @@ def sized(docs: DataFrame, text: str = "text", source: str = "source", rid: str
 
 def targets(rows: DataFrame, block_words: int = 1024) -> DataFrame:
     """One row per source: k (its place), source, source_size, target, block (words), n_blocks, n_slots."""
-    by = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     everything = Window.partitionBy()
     by = by.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("int") - 1)
     by = by.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod("k", F.lit(len(WEIGHTS))) + 1).cast("long")).withColumn("cap", PASSES * F.col("source_size"))
@@ -58,7 +61,7 @@ def targets(rows: DataFrame, block_words: int = 1024) -> DataFrame:
     by = by.withColumn("block", F.greatest(F.lit(1), F.least(most, F.expr("source_size div 256"))).cast("long"))
     by = by.withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
     slots = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(0).cast("long")
-    return written(by.select("k", "source", "source_size", "target", "block", "n_blocks", F.least(slots, PASSES * F.col("n_blocks")).alias("n_slots")).coalesce(1), "targets")
+    return written(by.select("k", "source", "source_size", "n_docs", "target", "block", "n_blocks", F.least(slots, PASSES * F.col("n_blocks")).alias("n_slots")).coalesce(1), "targets")
 
 
 def schedule(goal: DataFrame) -> DataFrame:
@@ -94,7 +97,9 @@ def _with(rows: DataFrame, goal: DataFrame, *names: str) -> DataFrame:
 def block_pieces(rows: DataFrame, goal: DataFrame, seed: int = 7) -> DataFrame:
     """rid, k, block, words: how a source's shuffled documents fill its blocks, one row for each part of a document."""
     here = _with(rows.where("size > 0"), goal, "k", F.col("block").alias("block_words"))
-    here = here.withColumn("h", F.xxhash64("doc_id", "content", F.lit(seed))).withColumn("b", F.shiftrightunsigned("h", 55).cast("int"))
+    most = goal.agg(F.max("n_docs")).first()[0] or 0
+    bits = max(9, math.ceil(math.log2(max(1, most) / MEAN_BUCKET)))  # the order is that of h, whatever the buckets
+    here = here.withColumn("h", F.xxhash64("doc_id", "content", F.lit(seed))).withColumn("b", F.shiftrightunsigned("h", 64 - bits))
     sums = here.groupBy("k", "b").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.sum("size").over(Window.partitionBy("k", "b").orderBy("h", "doc_id", "content", "rid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
