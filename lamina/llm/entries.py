@@ -25,7 +25,7 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.predicted(_documents(spark, sf_dir))
+    return langid.labelled(_documents(spark, sf_dir))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,16 +4,18 @@ Words are separated by white space and lower-cased; only their letters count, an
 evidence of its own. Features of a word: all character n-grams of length 1 to 4 of the word between
 boundary marks (those at a mark are its affixes), hashed, and its entry in the lexicon of each language. Transition
 weights are learned with the feature weights by stochastic gradients of the exact log-likelihood, on sequences of which
-some are cut from two texts, so that the model meets code-switching. Forward-backward gives every word's posterior; a
-text's language has the largest mean posterior, which is its score.
+some are cut from two texts, so that the model meets code-switching. Forward-backward gives every word's posterior, and so
+every word's language; a text's language has the largest mean posterior, which is its score.
 
 The model is fitted on the driver from a bounded sample of labelled rows: about ``per_lang`` documents for each
-language, chosen by a hash of their ids. Its size is ``BUCKETS`` floats for each language, and the sample's words.
-Prediction covers every word of every text.
-
-Defined results: a null text or one without letters is ``und`` with score 0; rows with a null id are predicted, never
-learned from and not held out; if nothing can be learned, everything is ``und``. Only lang and text are read besides
-the id, whatever other columns there are.
+language, chosen by a hash of their ids, and of a longer text a stretch of ``sample_chars``. Its size is ``BUCKETS``
+floats for each language, and the sample's words. Prediction covers every word of every text; a text of more than
+``SEGMENT`` words is labelled a segment at a time, its messages carried over the borders.
+
+Defined results: a null or empty text or one without letters is ``und`` with score 0 and has no labels; rows with a null
+id are predicted, never learned from and not held out; rows that repeat an id are learned from and predicted each; of
+tied languages the first by code point counts; if nothing can be learned, everything is ``und``; an empty table gives an
+empty one. Only lang and text are read besides the id, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ GRAMS = (1, 2, 3, 4)
 UNKNOWN = "und"
 HELD = 2  # of crc32(id) mod 4
 MEMO = 300_000  # words whose emissions a worker remembers
+SEGMENT = 1 << 18  # words of one text that are labelled at a time
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,8 +199,8 @@ class Labeller:
                 self.store = np.concatenate([self.store, self.model.emissions([x for _, x in some]).astype(np.float32)])
         return np.fromiter(map(self.place.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
 
-    def __call__(self, texts: list[list[str]], whole: bool = True) -> list[np.ndarray]:
-        """Mean posterior of each text's words, or (``whole`` false) the posterior of each word.
+    def __call__(self, texts: list[list[str]]) -> np.ndarray:
+        """The posterior of each word, text after text.
 
         Words of all texts go step by step, longest text first: at each step the texts that still have a word are a
         prefix, so nothing is padded.
@@ -230,22 +233,67 @@ class Labeller:
             beta = (e[a:b] * beta) @ self.trans.T
             beta /= beta.sum(axis=1, keepdims=True)
         alpha /= alpha.sum(axis=1, keepdims=True)
-        post = alpha[spot]  # text after text again
-        cut = np.cumsum(lens)[:-1]
-        if not whole:
-            return np.split(post, cut)
-        out = np.zeros((len(texts), len(self.start)))
-        full = np.flatnonzero(lens)
-        if len(full):
-            out[full] = np.add.reduceat(post, (np.cumsum(lens) - lens)[full], axis=0, dtype=np.float64) / lens[full, None]
-        return list(out)
+        return alpha[spot]  # text after text again
+
+    def in_segments(self, words: list[str], segment: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(first word, posteriors) of the segments of one long text, last segment first."""
+
+        def forward(a: int, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            rows = self.rows([words[a : a + segment]])  # may renew the store
+            e = self.store[rows]
+            alpha = np.empty_like(e)
+            for i in range(len(e)):
+                now = (now @ self.trans if a + i else self.start) * e[i]
+                now = now / now.sum()
+                alpha[i] = now
+            return e, alpha
+
+        starts = list(range(0, len(words), segment))
+        before = [self.start]  # forward messages at the segments' starts
+        for a in starts[:-1]:
+            before.append(forward(a, before[-1])[1][-1])
+        beta = np.ones(len(self.start), np.float32)
+        for a, now in zip(reversed(starts), reversed(before), strict=True):
+            e, alpha = forward(a, now)
+            for i in range(len(e) - 1, -1, -1):
+                alpha[i] *= beta
+                beta = self.trans @ (e[i] * beta)
+                beta = beta / beta.sum()
+            yield a, alpha / alpha.sum(axis=1, keepdims=True)
+
+    def labelled(self, texts: list[list[str]], segment: int = SEGMENT) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The mean posterior of each text (zeros without words), and its runs of words of one language: first word, language."""
+        means, runs = np.zeros((len(texts), len(self.start))), [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
+        short = [i for i, t in enumerate(texts) if 0 < len(t) <= segment]
+        if short:
+            lens = np.array([len(texts[i]) for i in short])
+            head = np.cumsum(lens) - lens
+            post = self([texts[i] for i in short])
+            means[short] = np.add.reduceat(post, head, axis=0, dtype=np.float64) / lens[:, None]
+            best = post.argmax(axis=1)
+            new = np.r_[True, best[1:] != best[:-1]]
+            new[head] = True
+            at = np.flatnonzero(new)
+            cut = np.searchsorted(at, np.r_[head, len(best)])
+            for j, i in enumerate(short):
+                own = at[cut[j] : cut[j + 1]]
+                runs[i] = own - head[j], best[own]
+        for i, t in enumerate(texts):
+            if len(t) > segment:
+                best = np.zeros(len(t), np.int64)
+                for a, post in self.in_segments(t, segment):
+                    means[i] += post.sum(axis=0, dtype=np.float64) / len(t)
+                    best[a : a + len(post)] = post.argmax(axis=1)
+                at = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
+                runs[i] = at, best[at]
+        return means, runs
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD, F.lit(False))
 
 
-def sampled(docs: DataFrame, per_lang: int) -> list[tuple[str, str]]:
+def sampled(docs: DataFrame, per_lang: int, sample_chars: int = 20_000) -> list[tuple[str, str]]:
     """About ``per_lang`` (text, lang) pairs of each language, by a hash of the id; never a held-out row."""
     able = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
@@ -253,25 +301,46 @@ def sampled(docs: DataFrame, per_lang: int) -> list[tuple[str, str]]:
         return []
     share = F.element_at(F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(per_lang / r["count"])))), F.col("lang"))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    return [(r["text"], r["lang"]) for r in able.where(F.coalesce(drawn < share, F.lit(False))).select("text", "lang").collect()]
+    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit("cut")), F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1)
+    cut = F.substring("text", start.cast("int"), F.lit(sample_chars))
+    return [(r["cut"], r["lang"]) for r in able.where(F.coalesce(drawn < share, F.lit(False))).select(cut.alias("cut"), "lang").collect()]
+
+
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
+
+
+def _runs(found: list[tuple[np.ndarray, np.ndarray]], lens: list[int], langs: list[str]) -> pa.Array:
+    size = np.array([len(at) for at, _ in found], np.int64)
+    start = np.concatenate([at for at, _ in found]).astype(np.int64)
+    stop = np.concatenate([np.r_[at[1:], n] if len(at) else at for (at, _), n in zip(found, lens, strict=True)]).astype(np.int64)
+    lang = pa.array(langs, pa.string()).take(pa.array(np.concatenate([k for _, k in found]).astype(np.int64)))
+    runs = pa.StructArray.from_arrays([pa.array(start), pa.array(stop), lang], fields=list(_RUNS.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), runs)
+
 
+def labelled(docs: DataFrame, per_lang: int = 200, steps: int = 200, sample_chars: int = 20_000) -> DataFrame:
+    """Per row: doc_id, held_out, lang_pred, score, n_words, labels (start, end, lang of each run of words of one language).
 
-def predicted(docs: DataFrame, per_lang: int = 200, steps: int = 200) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score, n_words."""
+    Words are numbered from 0, separated by white space; end is exclusive.
+    """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang"))
-    model = fit(sampled(named, per_lang), steps)
+    model = fit(sampled(named, per_lang, sample_chars), steps)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * langs floats and the sample's words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         label = Labeller(own) if own else None
+        langs = own.langs if own else [UNKNOWN]
         for batch in batches:
-            for part in pieces(batch, "text", 8 << 20):
+            for part in pieces(batch, "text", max(1 << 20, (32 << 20) // max(4, len(langs)))):
                 texts = [words_of(t) for t in part.column("text").to_pylist()]
-                means = label(texts) if label else [np.zeros(1)] * len(texts)
                 able = [bool(own) and any(map(letters, t)) for t in texts]
-                lang = [own.langs[int(m.argmax())] if x else UNKNOWN for x, m in zip(able, means, strict=True)]
+                told = [t if x else [] for t, x in zip(texts, able, strict=True)]
+                means, runs = label.labelled(told) if label else (np.zeros((len(texts), 1)), [(np.zeros(0, np.int64),) * 2] * len(texts))
+                lang = [langs[int(m.argmax())] if x else UNKNOWN for x, m in zip(able, means, strict=True)]
                 score = [min(1.0, float(m.max())) if x else 0.0 for x, m in zip(able, means, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "held_out", "lang_pred", "score", "n_words"])
+                cols = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([len(t) for t in texts], pa.int64()), _runs(runs, [len(t) for t in told], langs)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *cols], ["doc_id", "held_out", "lang_pred", "score", "n_words", "labels"])
 
-    return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long")
+    schema = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, labels array<struct<start:long,end:long,lang:string>>"
+    return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, schema)
