@@ -43,7 +43,7 @@ def low(i):
 
 def test_empty_tables(spark, empty):
     vocabulary = entries.vocabulary()
-    for df in (secrets.scanned(empty), langid.predicted(empty, steps=2), linededup.line_report(empty), packing.packed_pieces(empty, vocabulary), neardup.clusters(empty), quality.judged(empty), sharding.sharded(empty), mixing.mixed(empty), substrings.substring_report(empty), mixing.drawn_texts(empty), quality.filtered(empty), linededup.dedup_lines(empty), neardup.kept(empty)):
+    for df in (secrets.scanned(empty), langid.labelled(empty, steps=2), linededup.line_report(empty), packing.packed_pieces(empty, vocabulary), neardup.clusters(empty), quality.judged(empty), sharding.sharded(empty), mixing.mixed(empty), substrings.substring_report(empty), mixing.drawn_texts(empty), quality.filtered(empty), linededup.dedup_lines(empty), neardup.kept(empty)):
         assert df.count() == 0
     assert embeddings.clusters(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -268,9 +268,9 @@ def test_embeddings(spark):
 
 def test_language_id(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    found = langid.predicted(df, per_lang=60, steps=80).join(df.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'").collect()
+    found = langid.labelled(df, per_lang=60, steps=80).join(df.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'").collect()
     assert sum(r.lang_pred == r.lang for r in found) >= 0.97 * len(found) > 100
-    odd = langid.predicted(spark.createDataFrame([(1, None, "en"), (2, "123 !!", "en"), (3, "some words here", "en"), (None, "x", None)], "doc_id long, text string, lang string"), steps=2)
+    odd = langid.labelled(spark.createDataFrame([(1, None, "en"), (2, "123 !!", "en"), (3, "some words here", "en"), (None, "x", None)], "doc_id long, text string, lang string"), steps=2)
     assert {r.doc_id: r.lang_pred for r in odd.collect()} | {3: 0} == {1: "und", 2: "und", 3: 0, None: odd.collect()[3].lang_pred}
 
 
@@ -284,7 +284,7 @@ def test_code_switching_is_labelled_by_word(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang in ('en', 'de') and length(text) > 600").limit(60)
     model = langid.fit([(r.text, r.lang) for r in df.collect()], steps=80)
     parts = {r.lang: langid.words_of(r.text)[:40] for r in df.collect()}
-    post = langid.Labeller(model)([parts["en"] + parts["de"]], whole=False)[0]
+    post = langid.Labeller(model)([parts["en"] + parts["de"]])
     names = [model.langs[i] for i in post.argmax(axis=1)]
     assert names[:40].count("en") >= 36 and names[40:].count("de") >= 36
 
@@ -349,3 +349,123 @@ def test_sql_where_something_is_found(spark, tmp_path):
     assert op6.where("not kept").count() > 0 and op6.where("n_links > 1").count() > 0
     op7 = entries.queries()["op7_quality_rules"](spark, str(tmp_path))
     assert op7.where("lost_words > 0").count() > 0 and op7.where("not kept and not base_failed").count() > 0
+
+
+def brute_ids(data, k):
+    """doc_id -> smallest id, where rows of one id are one document that holds all their sets."""
+    sets = [(i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)}) for i, t in data if (w := (t or "").encode().lower().split())]
+    root = {i: i for i, _ in sets}
+    for _ in range(len(root)):
+        for i, x in sets:
+            for j, y in sets:
+                if 100 * len(x & y) >= 80 * len(x | y):
+                    root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+@pytest.mark.parametrize("parts", [1, 4, 211])
+def test_rows_that_repeat_an_id_join_their_classes(spark, parts):
+    other = " ".join(f"o{i}" for i in range(60))
+    data = [(1, LONG), (1, other), (2, other + " more"), (3, LONG + " more"), (4, "alone here now"), (4, LONG[:40]), (5, LONG[:40]), (0, "one two three"), (6, "one two three")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(parts)
+    got = neardup.clusters(df, k=2).collect()
+    want = brute_ids(data, 2)
+    assert len(got) == len(data) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
+    assert want[2] == want[3] == 1 and want[5] == 4 and want[6] == 0
+
+
+def test_no_count_of_shards_moves_rows_between_old_ones(spark):
+    ids = spark.range(3000).select(F.col("id").alias("key"))
+    found = ids.select(*(sharding.place(F.col("key"), sharding.tree(n)).alias(f"n{n}") for n in range(1, 42))).toPandas()
+    for n in range(1, 41):
+        moved = found[found[f"n{n}"] != found[f"n{n + 1}"]]
+        assert set(moved[f"n{n + 1}"]) <= {n} and found[f"n{n}"].max() < n
+        assert 0.5 < len(moved) * (n + 1) / 3000 < 1.6
+
+
+def test_a_weight_moves_rows_within_its_own_shard_only(spark):
+    old, new = sharding.tree(16), sharding.tree(16)
+    new["region1"]["rack2"]["9"] = 3.0
+    new["region0"]["rack1"]["4"] = 0.0
+    got = spark.range(6000).select(sharding.place(F.col("id"), old).alias("a"), sharding.place(F.col("id"), new).alias("b")).where("a <> b").distinct().collect()
+    assert all(r.b == 9 or r.a == 4 for r in got) and any(r.b == 9 for r in got) and any(r.a == 4 and r.b != 9 for r in got)
+
+
+def test_spans_take_time_that_grows_with_the_text():
+    import time
+
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefABCDEF0123456789XYZxyzQRSTUV"))
+    text = "\n".join(f"token = {''.join(rng.choice(letters, 30))} {''.join(rng.choice(letters, 40))}" for _ in range(12_000))
+    took = []
+    for t in (text[: len(text) // 4], text):
+        began = time.perf_counter()
+        found = secrets.spans(t)
+        took.append(time.perf_counter() - began)
+    base = [(s, e) for s, k, e, _ in found if k < 3]
+    own = [(s, e) for s, k, e, _ in found if k == 3]
+    want = [(m.start(), m.end()) for m in secrets.OPAQUE.finditer(text[:60_000]) if secrets.opaque(m[0]) and not any(s < m.end() and m.start() < e for s, e in base[:3000])]
+    assert own[: len(want) - 5] == want[:-5] and len(want) > 500
+    assert took[1] < 12 * took[0] + 0.2
+
+
+def test_ownership_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    value = ["".join(rng.choice(list("abcdefghKLMNOP0123456789"), 24)) for _ in range(12)]
+    data = [(i % 40 if i % 11 else None, " ".join(value[j] for j in rng.choice(12, 3)), None if i % 9 == 0 else f"s{rng.integers(3)}") for i in range(90)]
+    got = {r.hash: (r.n_repos, r.n_owners, r.n_rows) for r in secrets.ownership(secrets.candidates(spark.createDataFrame(data, "doc_id long, text string, source string"))).collect()}
+    want = {}
+    for v in value:
+        if secrets.opaque(v):
+            held = [(d, s) for d, t, s in data if v in t]
+            times = sum(t.split().count(v) for _, t, _ in data)
+            want[secrets.xxhash.xxh3_128_digest(v.encode())] = (len({d for d, _ in held}), len({s for _, s in held}), times)
+    assert got == want and len(want) > 5
+
+
+def random_model(rng, langs=3):
+    words = ["one", "due", "trois", "vier", "cinco", "sechs", "sept", "otto", "nine"]
+    return words, langid.Model([f"l{i}" for i in range(langs)], 0.3 * rng.standard_normal((langid.BUCKETS, langs)), {words[0]: 1}, rng.standard_normal((langs, langs)), rng.standard_normal((langs, langs)), rng.standard_normal(langs))
+
+
+def test_forward_backward_against_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(8)
+    words, model = random_model(rng)
+    texts = [[words[i] for i in rng.integers(0, 9, n)] for n in (1, 2, 3, 5, 6)]
+    found = np.split(langid.Labeller(model)(texts), np.cumsum([len(t) for t in texts])[:-1])
+    for t, post in zip(texts, found):
+        e = np.log(model.emissions(t))
+        want = np.zeros((len(t), 3))
+        for path in product(range(3), repeat=len(t)):
+            s = model.start[path[0]] + sum(model.transitions[a, b] for a, b in zip(path, path[1:])) + sum(e[i, k] for i, k in enumerate(path))
+            for i, k in enumerate(path):
+                want[i, k] += np.exp(s)
+        assert np.allclose(post, want / want.sum(axis=1, keepdims=True), atol=1e-4)
+
+
+def test_segments_of_a_long_text_agree_with_the_whole():
+    words, model = random_model(np.random.default_rng(9))
+    texts = [[words[i % 9] for i in range(n)] for n in (0, 7, 100, 230)]
+    whole, cut = (langid.Labeller(model).labelled(texts, s) for s in (1000, 7))
+    assert np.allclose(whole[0], cut[0], atol=1e-4)
+    assert all(np.array_equal(a, c) and np.array_equal(b, d) for (a, b), (c, d) in zip(whole[1], cut[1]))
+
+
+def test_switched_words_are_in_the_output(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang in ('en', 'de') and text is not null")
+    parts = {r.lang: " ".join(langid.words_of(r.text)[:40]) for r in df.where("length(text) > 600").collect()}
+    both = df.select("doc_id", "text", "lang").unionAll(spark.createDataFrame([(-1, f"{parts['en']} {parts['de']}", None)], df.select("doc_id", "text", "lang").schema))
+    r = langid.labelled(both, per_lang=60, steps=80).where("doc_id = -1").collect()[0]
+    told = [x.lang for x in r.labels for _ in range(x.end - x.start)]
+    assert len(told) == r.n_words == 80 and [x.start for x in r.labels] == [0, *(x.end for x in r.labels[:-1])]
+    assert told[:40].count("en") >= 36 and told[40:].count("de") >= 36
+
+
+def test_vectors_that_repeat_an_id_stand_for_themselves(spark):
+    a, b, c = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1], [0.0, 1.0, 0.12]
+    rows = [(1, a, 1), (1, b, 1), (2, c, 1), (3, a, 1), (4, [-x for x in a], 1), (0, a, 2), (5, [1e200, 0.0, 1e199], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("key", F.lit("x")).withColumn("id", F.lit(1))
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.clusters(df).collect())
+    assert got == Counter([(1, 2, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 0, 4, True), (0, 0, 0, True), (5, 2, 1, False)])
