@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 
 import pandas as pd
 import pyarrow as pa
@@ -96,10 +97,13 @@ def require_valid(checked: DataFrame) -> DataFrame:
     return checked.withColumn("valid", F.when(F.col("valid"), True).otherwise(F.raise_error(F.concat(F.lit("checksum mismatch in unit "), F.col("unit_id").cast("string"))).cast("boolean")))
 
 
-def file_checksums(spark, path: str) -> DataFrame:
-    """(path, length, checksum) of whole files; a file is one row, so this is for files that fit a task."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", xxh64(F.col("content")).alias("checksum"))
+SQL_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "string": "VARCHAR", "double": "DOUBLE", "float": "FLOAT", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "binary": "BLOB"}
 
 
-def schema_checksum(df: DataFrame) -> int:
-    return int.from_bytes(xxhash.xxh64_digest(df.schema.json().encode()), "big", signed=True)
+def sql_name(kind: str) -> str:
+    return sql_name(kind[6:-1]) + "[]" if kind.startswith("array<") else SQL_NAMES.get(kind, kind)
+
+
+def schema_checksum(df: DataFrame) -> str:
+    """MD5 of names and SQL types, in order."""
+    return hashlib.md5(",".join(f"{n} {sql_name(k)}" for n, k in df.dtypes).encode()).hexdigest()

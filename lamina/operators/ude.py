@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import struct
 from abc import ABC, abstractmethod
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,10 @@ class Encoding(ABC):
     def decode(self, data: bytes) -> Iterator[pa.Array]:
         """Parts of the array, one after another."""
 
+    def first(self, data: bytes) -> pa.Array:
+        """The first part alone."""
+        return next(self.decode(data))
+
     def slice(self, data: bytes, start: int, stop: int) -> pa.Array:
         return pa.concat_arrays(list(self.decode(data))).slice(start, stop - start)
 
@@ -48,6 +53,11 @@ def register(name: str):
     return put
 
 
+def known() -> dict[str, tuple[int, int, int]]:
+    """Names and versions of all registered encodings."""
+    return {n: c.version for n, c in sorted(_registry.items())}
+
+
 def encoding(name: str, **kwargs: bytes) -> Encoding:
     if name not in _registry:
         raise KeyError(f"no encoding {name!r}; known: {sorted(_registry)}")
@@ -81,6 +91,15 @@ for _name in ("lz4", "zstd", "gzip"):
     register(_name)(type(f"Block{_name.title()}", (_Block,), {"codec": _name}))
 
 
+VECTOR = 1024  # values of a vector
+
+
+def unpacked(data: bytes, width: int, n: int) -> np.ndarray:
+    """The first ``n`` integers of ``width`` bits, lowest bit first."""
+    bits = np.unpackbits(np.frombuffer(data[: -(-width * n // 8)], np.uint8), bitorder="little")[: width * n].reshape(n, width)
+    return (bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) if n else np.zeros(0, np.uint64)
+
+
 @register("bitpack")
 class BitPack(Encoding):
     """Non-negative integers at the width of the largest; a trailer of width and length."""
@@ -95,10 +114,34 @@ class BitPack(Encoding):
 
     def decode(self, data: bytes) -> Iterator[pa.Array]:
         width, n = struct.unpack("<BQ", data[-9:])
-        bits = np.unpackbits(np.frombuffer(data[:-9], np.uint8), bitorder="little")[: width * n].reshape(n, width)
-        value = (bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) if n else np.zeros(0, np.uint64)
-        for i in range(0, max(n, 1), 1024):
-            yield pa.array(value[i : i + 1024].astype(np.int64))
+        for i in range(0, max(n, 1), VECTOR):  # a vector starts at a whole byte: no other vector is touched
+            yield pa.array(unpacked(data[i * width // 8 :], width, min(VECTOR, n - i)).astype(np.int64))
+
+
+UNSIGNED = [np.uint8, np.uint16, np.uint32, np.uint64]  # by type id
+
+
+@register("arraypack")
+class ArrayPack(Encoding):
+    """A whole array of unsigned integers at the width of its largest; a trailer of type id, width and length, each 4
+    bytes. Lengths are multiples of 1024."""
+
+    def encode(self, array: pa.Array) -> bytes:
+        if array.null_count or len(array) % VECTOR:
+            raise ValueError("arraypack takes no nulls and whole vectors")
+        v = array.to_numpy(zero_copy_only=False)
+        kind = v.dtype.type if v.dtype.type in UNSIGNED else np.uint64
+        if v.dtype.type not in UNSIGNED and v.min(initial=0) < 0:
+            raise ValueError("arraypack takes no negative values")
+        v = v.astype(np.uint64)
+        width = int(v.max(initial=0)).bit_length()
+        bits = ((v[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+        return np.packbits(bits.ravel(), bitorder="little").tobytes() + struct.pack("<III", UNSIGNED.index(kind), width, len(v))
+
+    def decode(self, data: bytes) -> Iterator[pa.Array]:
+        kind, width, n = struct.unpack("<III", data[-12:])
+        for i in range(0, n, VECTOR):
+            yield pa.array(unpacked(data[i * width // 8 :], width, VECTOR).astype(UNSIGNED[kind]))
 
 
 @register("delta_bins")
@@ -128,6 +171,42 @@ class DeltaBins(Encoding):
         yield pa.array(out, mask=~valid)
 
 
+TYPED = [np.int16, np.int32, np.int64, np.uint16, np.uint32, np.uint64, np.float32, np.float64]  # by type id
+
+
+@register("typed_bins")
+class TypedBins(Encoding):
+    """Numbers of any of these types, with nulls: a flag and bitmap of nulls, the type id, then the bits of the values
+    as ``delta_bins``."""
+
+    def encode(self, array: pa.Array) -> bytes:
+        valid = np.asarray(array.is_valid())
+        v = array.drop_null().to_numpy(zero_copy_only=False)
+        nulls = b""
+        if array.null_count:
+            packed = np.packbits(valid, bitorder="little").tobytes()
+            nulls = struct.pack("<I", len(packed)) + packed
+        kind = TYPED.index(v.dtype.type)
+        bits = np.ascontiguousarray(v).view(f"i{v.dtype.itemsize}").astype(np.int64)
+        return struct.pack("<I", int(array.null_count > 0)) + nulls + struct.pack("<II", kind, len(valid)) + DeltaBins().encode(pa.array(bits))
+
+    def decode(self, data: bytes) -> Iterator[pa.Array]:
+        (flag,), at, valid = struct.unpack_from("<I", data), 4, None
+        if flag:
+            (size,) = struct.unpack_from("<I", data, at)
+            valid = np.unpackbits(np.frombuffer(data[at + 4 : at + 4 + size], np.uint8), bitorder="little").astype(bool)
+            at += 4 + size
+        kind, n = struct.unpack_from("<II", data, at)
+        kind = np.dtype(TYPED[kind])
+        held = np.concatenate([x.to_numpy() for x in DeltaBins().decode(data[at + 8 :])]).astype(f"i{kind.itemsize}").view(kind)
+        if valid is None:
+            yield pa.array(held)
+            return
+        out = np.zeros(n, kind)
+        out[valid[:n]] = held
+        yield pa.array(out, mask=~valid[:n])
+
+
 @register("symbols")
 class Symbols(Encoding):
     """Strings over a table of up to 255 frequent 8-byte or shorter symbols; other bytes are escaped."""
@@ -226,29 +305,126 @@ class Session:
         return part
 
 
-def encoded(df: DataFrame, value: str, pos: str, unit: int, name: str) -> DataFrame:
-    """(unit_id, n, data): a column's units through a registered encoding."""
+def encoded(df: DataFrame, value: str, pos: str, unit: int, name: str, multiple: int = 1) -> DataFrame:
+    """(unit_id, n, data): a column's units through a registered encoding; a last unit is filled up with zeros to a
+    ``multiple``, n tells how many values are its own."""
     own = _registry[name]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
         array = table.column("value").combine_chunks()
-        return pa.table({"unit_id": table.column("unit_id")[:1], "n": pa.array([len(array)], pa.int64()), "data": pa.array([own().encode(array)], pa.binary())})
+        n = len(array)
+        if n % multiple:
+            array = pa.concat_arrays([array, pa.array([0] * (multiple - n % multiple), array.type)])
+        return pa.table({"unit_id": table.column("unit_id")[:1], "n": pa.array([n], pa.int64()), "data": pa.array([own().encode(array)], pa.binary())})
 
     here = df.select(F.floor(F.col(pos) / unit).cast("long").alias("unit_id"), F.col(pos).alias("pos"), F.col(value).alias("value"))
     return here.groupBy("unit_id").applyInArrow(run, "unit_id long, n long, data binary")
 
 
-def decoded(units: DataFrame, name: str, unit: int, kind: str) -> DataFrame:
-    """(pos, value): the units' values as rows, part by part."""
+def decoded(units: DataFrame, name: str, unit: int, kind: str, first: bool = False) -> DataFrame:
+    """(pos, value): the units' own values as rows, part by part; or (``first``) those of their first vectors alone."""
     own = _registry[name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data in zip(batch.column("unit_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                at = i * unit
-                for part in own().decode(data):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), part], ["pos", "value"])
+            for i, n, data in zip(*(batch.column(c).to_pylist() for c in ("unit_id", "n", "data")), strict=True):
+                at, left = i * unit, n
+                for part in [own().first(data)] if first else own().decode(data):
+                    part = part[:left]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), part.cast(kinds)], ["pos", "value"])
                     at += len(part)
+                    left -= len(part)
+
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[kind]
+    return units.select("unit_id", "n", "data").mapInArrow(run, f"pos long, value {kind}")
+
+
+# -- kinds of decoders ---------------------------------------------------------------------------------------------
+
+
+def scalar_decoder(name: str) -> Callable[[Column], Column]:
+    """One buffer in, one buffer out: the values' bytes, little-endian."""
+
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        own = encoding(name)
+        return s.map(lambda x: None if x is None else b"".join(p.to_numpy(zero_copy_only=False).tobytes() for p in own.decode(bytes(x))))
+
+    return run
+
+
+def string_decoder(name: str) -> Callable[[Column], Column]:
+    """One buffer in, two out: lengths (4 bytes each) and the strings' bytes."""
+
+    @F.pandas_udf("lengths binary, data binary")
+    def run(s: pd.Series) -> pd.DataFrame:
+        own, out = encoding(name), []
+        for x in s:
+            texts = [t.encode() for part in own.decode(bytes(x)) for t in part.to_pylist()]
+            out.append((np.array([len(t) for t in texts], "<u4").tobytes(), b"".join(texts)))
+        return pd.DataFrame(out, columns=["lengths", "data"])
+
+    return run
+
+
+def from_buffers(units: DataFrame, unit: int) -> DataFrame:
+    """(pos, value): rows from a scalar decoder's buffers (unit_id, data) of 64-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data in zip(batch.column("unit_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                v = np.frombuffer(data, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(i * unit + np.arange(len(v))), pa.array(v)], ["pos", "value"])
+
+    return units.select("unit_id", "data").mapInArrow(run, "pos long, value long")
+
+
+def from_string_buffers(units: DataFrame, unit: int) -> DataFrame:
+    """(pos, value): rows from a string decoder's buffers (unit_id, lengths, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, lengths, data in zip(*(batch.column(c).to_pylist() for c in ("unit_id", "lengths", "data")), strict=True):
+                ends = np.r_[0, np.cumsum(np.frombuffer(lengths, "<u4"))].astype(np.int32)
+                strings = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data))
+                yield pa.RecordBatch.from_arrays([pa.array(i * unit + np.arange(len(strings))), strings], ["pos", "value"])
+
+    return units.select("unit_id", "lengths", "data").mapInArrow(run, "pos long, value string")
+
+
+class MergeInputs:
+    """Several inputs in, rows out: parts of a unit that were encoded apart, one after another."""
+
+    def eval(self, first: int, name: str, inputs: list[bytes]) -> Iterator[tuple[int, int]]:
+        at = first
+        for data in inputs:
+            for part in encoding(name).decode(bytes(data)):
+                for v in part.to_pylist():
+                    yield at, v
+                    at += 1
+
+
+class DecodeSession:
+    """Init with arguments, then decoding until None; what is still open when the input ends is closed."""
+
+    def __init__(self) -> None:
+        self.open: Session | None = None
+
+    def eval(self, first: int, name: str, data: bytes, kwargs: bytes) -> Iterator[tuple[int, int]]:
+        self.open = Session(name, bytes(data), bytes(kwargs))
+        at = first
+        while (part := self.open.decode()) is not None:
+            for v in part.to_pylist():
+                yield at, int(v)
+                at += 1
+
+    def terminate(self) -> None:
+        self.open = None
+
+
+def table_function(kind: type):
+    """A table function of (pos, value) from one of the classes above."""
+    from pyspark.sql.functions import udtf
 
-    return units.select("unit_id", "data").mapInArrow(run, f"pos long, value {kind}")
+    return udtf(kind, returnType="pos bigint, value bigint")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, layouts, nested  # noqa: F401  (each registers its queries)
+from . import catalog, container, decoders, layouts, nested  # noqa: F401  (each registers its queries)
 from .registry import SQL, TABLE
 
 

@@ -337,11 +337,6 @@ def _(t):
     return ude.decoded(ude.encoded(t("orders"), "o_custkey", "o_orderkey", 1024, "bitpack"), "bitpack", 1024, "long")
 
 
-@query("E06_array_bit_packing", f"SELECT count(*) AS n, {_BIN.format('max(o_custkey)')} AS width FROM orders")
-def _(t):
-    return t("orders").agg(F.count("*").alias("n"), bit_width(F.max("o_custkey")).alias("width"))
-
-
 @query("E01_cascade", f"""WITH x AS (SELECT floor(o_orderkey / {U})::BIGINT AS unit_id, o_orderkey AS p, o_custkey % 50 AS v FROM orders), y AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR lag(v) OVER w <> v THEN 1 ELSE 0 END AS new FROM x WINDOW w AS (PARTITION BY unit_id ORDER BY p)),
 s AS (SELECT unit_id, count(*) AS n, min(v) AS lo, max(v) AS hi, count(DISTINCT v) AS d, sum(new) AS r FROM y GROUP BY 1),
 c AS (SELECT unit_id, ceil(n * {_BIN.format('hi')} / 8.0)::BIGINT AS bytes, 'bitpacked' AS scheme FROM s UNION ALL SELECT unit_id, 8, 'constant' FROM s WHERE lo = hi UNION ALL SELECT unit_id, d * 8 + n, 'dictionary' FROM s UNION ALL SELECT unit_id, 8 + ceil(n * {_BIN.format('(hi - lo)')} / 8.0)::BIGINT, 'for' FROM s UNION ALL SELECT unit_id, n * 8, 'plain' FROM s UNION ALL SELECT unit_id, (r * 12)::BIGINT, 'runend' FROM s)
@@ -355,11 +350,6 @@ def _(t):
     return encodings.from_deltas(encodings.deltas(t("orders"), "o_custkey", "o_orderkey", U), U)
 
 
-@query("E03_first_vector", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 1024")
-def _(t):
-    return t("orders").where("o_orderkey < 1024").select("o_orderkey", "o_custkey")
-
-
 _RUNS = f"WITH x AS (SELECT floor(o_orderkey / {U})::BIGINT AS unit_id, o_orderkey AS p, o_orderstatus AS v FROM orders), y AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR lag(v) OVER w IS DISTINCT FROM v THEN 1 ELSE 0 END AS new FROM x WINDOW w AS (PARTITION BY unit_id ORDER BY p)), z AS (SELECT *, sum(new) OVER (PARTITION BY unit_id ORDER BY p) - 1 AS run FROM y)"
 
 
@@ -386,11 +376,6 @@ def _(t):
     return encodings.alp_exponents(t("orders"), "o_totalprice", "o_orderkey", U)
 
 
-@query("E11_symbol_strings")
-def _(t):
-    return ude.decoded(ude.encoded(t("orders"), "o_orderpriority", "o_orderkey", U, "symbols"), "symbols", U, "string")
-
-
 @query("E12_date_parts", "SELECT event_id, floor(epoch_us(ts) / 86400000000)::BIGINT AS days, floor((epoch_us(ts) % 86400000000) / 1000000)::BIGINT AS seconds, epoch_us(ts) % 1000000 AS micros FROM events")
 def _(t):
     return t("events").select("event_id", *encodings.date_parts(F.col("ts")))
@@ -417,12 +402,6 @@ def _(t):
     return encodings.constants(t("events"), "event_type", "event_id", 4)
 
 
-@query("E16_delta_bins")
-def _(t):
-    df = t("orders").withColumn("v", F.nullif(F.col("o_custkey"), F.lit(3).cast("long")))
-    return ude.decoded(ude.encoded(df, "v", "o_orderkey", U, "delta_bins"), "delta_bins", U, "long")
-
-
 _WINDOWED = "(floor(o_orderkey / 128) % 5) * 1000 + o_orderkey % 128"
 
 
@@ -489,16 +468,6 @@ def _(t):
     return t("documents").select("doc_id", codecs.xxh64(F.col("text").cast("binary")).alias("checksum"))
 
 
-@query("C10_file_checksum")
-def _(t):
-    return codecs.file_checksums(t.spark, f"{t.dir}/region.parquet").select("length", "checksum")
-
-
-@query("U06_decode_to_rows", "SELECT o_orderkey AS pos, o_orderpriority AS value FROM orders")
-def _(t):
-    return ude.decoded(ude.encoded(t("orders"), "o_orderpriority", "o_orderkey", U, "zstd"), "zstd", U, "string")
-
-
 _VERSIONS = [(0, 21, 0, 0, 21, 0, False), (0, 21, 0, 0, 20, 0, False), (0, 21, 0, 0, 22, 0, False), (1, 2, 0, 1, 3, 0, False), (1, 2, 0, 2, 0, 0, False), (2, 0, 0, 1, 9, 9, False), (1, 0, 0, 1, 0, 0, True)]
 _VALUES = ", ".join(f"({a}, {b}, {c}, {d}, {e}, {f}, {str(g).lower()})" for a, b, c, d, e, f, g in _VERSIONS)
 
@@ -679,16 +648,6 @@ def _(t):
     return t("lineitem").agg(F.count("*").alias("n"))
 
 
-@query("A12_layout_statistics", "SELECT event_type, list_sort(list(DISTINCT user_id % 4)) AS kinds FROM events GROUP BY 1")
-def _(t):
-    return t("events").groupBy("event_type").agg(F.sort_array(F.collect_set(F.col("user_id") % 4)).alias("kinds"))
-
-
-@query("A13_json_sizes", "SELECT k, sum(v)::BIGINT AS total FROM (SELECT 'k' AS k, (props ->> 'k')::BIGINT AS v FROM events) GROUP BY 1")
-def _(t):
-    return t("events").select(F.explode(F.from_json("props", "map<string,bigint>")).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("total"))
-
-
 @query("T03_multi_key_sort", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2 ORDER BY n DESC, 1, 2")
 def _(t):
     return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_returnflag", "l_linestatus")

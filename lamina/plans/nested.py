@@ -10,11 +10,11 @@ from .registry import UNIT, query
 
 U = UNIT
 _KEEP = "doc_id % 10 <> 3"
-_LISTS = f"SELECT doc_id, CASE WHEN {_KEEP} THEN regexp_extract_all(text[1:60], '[^ ]+') END AS w FROM documents"
+_LISTS = f"SELECT doc_id, CASE WHEN {_KEEP} THEN regexp_extract_all(text, '[^ ]+') END AS w FROM documents"
 
 
 def _words(t):
-    return t("documents").select("doc_id", F.when(F.expr(_KEEP), F.regexp_extract_all(F.substring("text", 1, 60), F.lit("[^ ]+"), F.lit(0))).alias("w"))
+    return t("documents").select("doc_id", F.when(F.expr(_KEEP), F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0))).alias("w"))
 
 
 _OFFSETS = f"SELECT doc_id AS pos, w IS NOT NULL AS valid, (sum(coalesce(len(w), 0)) OVER x - coalesce(len(w), 0))::BIGINT AS start, (sum(coalesce(len(w), 0)) OVER x)::BIGINT AS stop FROM ({_LISTS}) WINDOW x AS (PARTITION BY floor(doc_id / 128) ORDER BY doc_id)"
@@ -25,7 +25,7 @@ def _(t):
     return encodings.list_offsets(_words(t), "w", "doc_id", 128)
 
 
-@query("E22_list_items", f"SELECT doc_id AS pos, (i - 1)::INTEGER AS i, w[i] AS item FROM ({_LISTS}), range(1, 61) r(i) WHERE i <= len(w)")
+@query("E22_list_items", f"SELECT doc_id AS pos, (generate_subscripts(w, 1) - 1)::INTEGER AS i, unnest(w) AS item FROM ({_LISTS})")
 def _(t):
     return encodings.list_items(_words(t), "w", "doc_id")
 
@@ -78,35 +78,6 @@ def _(t):
     return _words(t).select("doc_id", F.concat(F.coalesce("w", F.array().cast("array<string>")), F.array(F.lit("end"))).alias("w"))
 
 
-# The same operators over every word of whole texts, by SQL of their own: the queries above see 60 characters of a text.
-_WHOLE = f"SELECT doc_id, CASE WHEN {_KEEP} THEN regexp_extract_all(text, '[^ ]+') END AS w FROM documents"
-
-
-def _all_words(t):
-    return t("documents").select("doc_id", F.when(F.expr(_KEEP), F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0))).alias("w"))
-
-
-@query("E20_list_offsets_whole", f"SELECT doc_id AS pos, w IS NOT NULL AS valid, (sum(coalesce(len(w), 0)) OVER x - coalesce(len(w), 0))::BIGINT AS start, (sum(coalesce(len(w), 0)) OVER x)::BIGINT AS stop FROM ({_WHOLE}) WINDOW x AS (PARTITION BY floor(doc_id / 128) ORDER BY doc_id)")
-def _(t):
-    return encodings.list_offsets(_all_words(t), "w", "doc_id", 128)
-
-
-@query("E22_list_items_whole", f"SELECT doc_id AS pos, (generate_subscripts(w, 1) - 1)::INTEGER AS i, unnest(w) AS item FROM ({_WHOLE})")
-def _(t):
-    return encodings.list_items(_all_words(t), "w", "doc_id")
-
-
-@query("E24_list_reassembly_whole", f"SELECT doc_id AS pos, w AS items FROM ({_WHOLE})")
-def _(t):
-    df = _all_words(t)
-    return encodings.to_lists(encodings.list_offsets(df, "w", "doc_id", 128), encodings.list_items(df, "w", "doc_id"))
-
-
-@query("T06_concat_arrays_whole", f"SELECT doc_id, coalesce(w, []::VARCHAR[]) || ['end'] AS w FROM ({_WHOLE})")
-def _(t):
-    return _all_words(t).select("doc_id", F.concat(F.coalesce("w", F.array().cast("array<string>")), F.array(F.lit("end"))).alias("w"))
-
-
 @query("I03_map_to_list", "SELECT event_id, CASE WHEN event_type <> 'click' THEN ['a', 'b'] END AS keys FROM events")
 def _(t):
     m = F.when(F.col("event_type") != "click", F.create_map(F.lit("b"), F.col("value"), F.lit("a"), F.col("value")))
