@@ -62,16 +62,54 @@ def choose(local: Column, global_: Column) -> Column:
     return F.when(local <= global_, "local").otherwise("global")
 
 
+def ranked(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with the rank of each row by ``order`` (different non-negative integers, not far apart), from 0: numbered
+    in strides whose counts are summed up, so no task numbers them all."""
+    df = df.withColumn("__stride", F.floor(F.col(order) / STRIDE))
+    counts = df.groupBy("__stride").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__stride").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each stride
+    own = F.row_number().over(Window.partitionBy("__stride").orderBy(order)) - 1
+    found = df.withColumn("__own", own).join(counts.select("__stride", before.alias("__before")), "__stride")
+    return found.withColumn(name, (F.col("__before") + F.col("__own")).cast("long")).drop("__stride", "__own", "__before")
+
+
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     """(side, idx, value, common): two dictionaries that share entries. Common values come first, in b's order; then
     each one's own remainder in its own order."""
     common = a.join(b, "value").select("value", b["idx"].alias("place"))
     n = common.agg(F.count("*").alias("n_common"))
-    first = common.select(F.row_number().over(Window.orderBy("place")).cast("long").alias("r"), "value").select((F.col("r") - 1).alias("idx"), "value")
+    first = ranked(common, "place", "r").select(F.col("r").alias("idx"), "value")
     out = None
     for name, own in (("a", a), ("b", b)):
-        rest = own.join(common.select("value"), "value", "left_anti").select(F.row_number().over(Window.orderBy("idx")).cast("long").alias("r"), "value")
-        rest = rest.crossJoin(n).select((F.col("r") - 1 + F.col("n_common")).alias("idx"), "value", F.lit(False).alias("common"))  # n is one row
+        rest = ranked(own.join(common.select("value"), "value", "left_anti"), "idx", "r").select("r", "value")
+        rest = rest.crossJoin(F.broadcast(n)).select((F.col("r") + F.col("n_common")).alias("idx"), "value", F.lit(False).alias("common"))  # n is one row
         side = first.withColumn("common", F.lit(True)).unionByName(rest).withColumn("side", F.lit(name))
         out = side if out is None else out.unionByName(side)
     return out.select("side", "idx", "value", "common")
+
+
+def flushed(dictionaries: DataFrame, value_size: int) -> DataFrame:
+    """(dict_id, chunk, n, size): the chunks of a merged pair in the order they are written: common, then each remainder;
+    empty ones are not written."""
+    chunk = F.when(F.col("common"), 0).when(F.col("side") == "a", 1).otherwise(2)
+    sizes = dictionaries.where("not common or side = 'a'").groupBy(chunk.alias("place")).agg(F.count("*").alias("n"))
+    placed = sizes.withColumn("dict_id", F.row_number().over(Window.orderBy("place")).cast("long") - 1)  # three rows at most
+    name = F.element_at(F.array(F.lit("common"), F.lit("a"), F.lit("b")), F.col("place") + 1)
+    return placed.select("dict_id", name.alias("chunk"), "n", (F.col("n") * value_size).alias("size"))
+
+
+def references(chunks: DataFrame) -> DataFrame:
+    """(side, chunks): the chunks that each side's dictionary is made of, the common one first."""
+    sides = chunks.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("side"), "dict_id", "chunk").where("chunk = 'common' or chunk = side")
+    return sides.groupBy("side").agg(F.sort_array(F.collect_list("dict_id")).alias("chunks"))
+
+
+def extended(entries: DataFrame, df: DataFrame, value: str, pos: str) -> tuple[DataFrame, DataFrame]:
+    """A dictionary (idx, value) and more rows: the dictionary with the new values after its own, by first occurrence,
+    and the codes (pos, idx) of these rows alone. Earlier rows aren't read again."""
+    rows = df.select(F.col(pos).alias("pos"), F.col(value).alias("value"))
+    fresh = build(df.join(entries.select(F.col("value").alias(value)), value, "left_anti"), value, pos)
+    n = entries.agg(F.count("*").alias("n"))
+    after = fresh.crossJoin(F.broadcast(n)).select((F.col("idx") + F.col("n")).alias("idx"), "value")  # n is one row
+    all_entries = entries.select("idx", "value").unionByName(after)
+    return all_entries, rows.join(all_entries, "value", "left").select("pos", "idx")

@@ -91,7 +91,7 @@ def date_parts(c: Column) -> list[Column]:
 
 def window_entries(df: DataFrame, value: str, pos: str, unit: int, width: int = WINDOW) -> DataFrame:
     """Window dictionary per unit: (unit_id, window_id, code, pattern). Whole windows only; a unit of more than
-    MOST_WINDOWS patterns is refused (its code is null)."""
+    MOST_WINDOWS patterns is stored plainly (its codes are null)."""
     wide = df.groupBy(F.floor(F.col(pos) / unit).cast("long").alias("unit_id"), F.floor(F.col(pos) / width).cast("long").alias("window_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))), lambda x: x["v"]).alias("pattern"))
     wide = wide.where(F.size("pattern") == width)
     firsts = wide.groupBy("unit_id", "pattern").agg(F.min("window_id").alias("first"))
@@ -100,9 +100,11 @@ def window_entries(df: DataFrame, value: str, pos: str, unit: int, width: int =
 
 
 def from_windows(entries: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(pos, value) from codes and the dictionary."""
-    book = entries.groupBy("unit_id", "code").agg(F.first("pattern").alias("pattern"))
-    out = entries.drop("pattern").join(book, ["unit_id", "code"]).select("window_id", F.posexplode("pattern").alias("i", "value"))
+    """(pos, value) from codes and the dictionary, or from the pattern itself where a unit is stored plainly."""
+    coded = entries.where("code is not null")
+    book = coded.groupBy("unit_id", "code").agg(F.first("pattern").alias("pattern"))
+    back = coded.drop("pattern").join(book, ["unit_id", "code"]).select("window_id", "pattern").unionAll(entries.where("code is null").select("window_id", "pattern"))
+    out = back.select("window_id", F.posexplode("pattern").alias("i", "value"))
     return out.select((F.col("window_id") * width + F.col("i")).alias("pos"), "value")
 
 

@@ -6,6 +6,7 @@ units, of which there is one for each 64 Ki values of a column.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,18 +46,22 @@ def units(df: DataFrame, pos: str, columns: list[str], batch: int, group_rows: i
 def cut_chunks(sizes: DataFrame, limit: int) -> DataFrame:
     """chunk_id per unit: a chunk closes once its bytes exceed ``limit``, strictly.
 
-    The sum restarts at each cut, which no window frame expresses; it is folded over the ordered units of one column and
-    row group, bounded by the row group.
+    The sum restarts at each cut, which no window frame expresses; the units of a column and row group are walked once,
+    in order. A unit stands for a batch of values, some 64 Ki, so a group of 10**11 rows is 50 MB here.
     """
-    zero = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<unit_id:long,num_rows:long,bytes:long,chunk_id:long>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        total = acc["sum"] + x["bytes"]
-        row = F.struct(x["unit_id"].alias("unit_id"), x["num_rows"].alias("num_rows"), x["bytes"].alias("bytes"), acc["chunk"].alias("chunk_id"))
-        return F.struct(F.when(total > limit, acc["chunk"] + 1).otherwise(acc["chunk"]).alias("chunk"), F.when(total > limit, F.lit(0)).otherwise(total).cast("long").alias("sum"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("unit_id")
+        chunk, total, out = 0, 0, []
+        for size in table.column("bytes").to_pylist():
+            out.append(chunk)
+            total += size
+            if total > limit:
+                chunk, total = chunk + 1, 0
+        return table.append_column("chunk_id", pa.array(out, pa.int64()))
 
-    ordered = sizes.groupBy("column_id", "row_group_id").agg(F.array_sort(F.collect_list(F.struct("unit_id", "num_rows", "bytes"))).alias("u"))
-    return ordered.select("column_id", "row_group_id", F.inline(F.aggregate("u", zero, step, lambda a: a["out"])))
+    schema = "column_id int, row_group_id long, unit_id long, num_rows long, bytes long"
+    return sizes.select("column_id", "row_group_id", "unit_id", "num_rows", "bytes").groupBy("column_id", "row_group_id").applyInArrow(run, f"{schema}, chunk_id long")
 
 
 def chunks(sizes: DataFrame, limit: int) -> DataFrame:
@@ -68,9 +73,16 @@ def chunks(sizes: DataFrame, limit: int) -> DataFrame:
     return found.withColumn("inner", F.coalesce(inner, F.lit(0))).join(before, "row_group_id").select("column_id", "row_group_id", "chunk_id", "num_rows", "size", (F.col("start") + F.col("inner")).alias("offset"))
 
 
-def selection(positions: DataFrame, groups: DataFrame) -> DataFrame:
-    """Positions (pos, repeated ones stay) by the row group that holds them: (row_group_id, local, pos); others are skipped."""
-    return positions.join(groups, (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.col("num_rows"))).select("row_group_id", (F.col("pos") - F.col("start")).alias("local"), "pos")
+def selection(positions: DataFrame, groups: DataFrame, stride: int) -> DataFrame:
+    """Positions (pos, repeated ones stay) by the row group that holds them: (row_group_id, local, pos); others are skipped.
+
+    Groups and positions meet in strides of positions, by equality: a group has a row for each stride it reaches into,
+    so a stride of about a group's rows keeps both sides near their own size.
+    """
+    reach = F.sequence(F.floor(F.col("start") / stride), F.floor((F.col("start") + F.col("num_rows") - 1) / stride))
+    cells = groups.where("num_rows > 0").withColumn("cell", F.explode(reach))
+    met = positions.withColumn("cell", F.floor(F.col("pos") / stride)).join(cells, "cell").where("pos >= start and pos < start + num_rows")
+    return met.select("row_group_id", (F.col("pos") - F.col("start")).alias("local"), "pos")
 
 
 def bulk_metadata(columns: Column, projected: Column) -> Column:

@@ -14,8 +14,9 @@ SKETCH_HASHES = 3
 
 
 def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_id, value) with each value once: one pass over the table."""
-    cells = [F.struct(F.lit(i).cast("int").alias("column_id"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)]
+    """(column_id, kind, value) with each value once: one pass over the table. Values of two types are never equal."""
+    kinds = dict(df.dtypes)
+    cells = [F.struct(F.lit(i).cast("int").alias("column_id"), F.lit(kinds[c]).alias("kind"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)]
     return df.select(F.inline(F.array(*cells))).where("value is not null").distinct()
 
 
@@ -23,8 +24,8 @@ def pairs(values: DataFrame) -> DataFrame:
     """(i, j, n_i, n_j, overlap, jaccard) of columns that share a value: an equi-join on values. A value gives at most
     one row for each pair of columns, however often it occurs."""
     n = values.groupBy("column_id").agg(F.count("*").alias("n"))
-    a, b = values.select(F.col("column_id").alias("i"), "value"), values.select(F.col("column_id").alias("j"), "value")
-    both = a.join(b, "value").where("i < j").groupBy("i", "j").agg(F.count("*").alias("overlap"))
+    a, b = (values.select(F.col("column_id").alias(x), "kind", "value") for x in "ij")
+    both = a.join(b, ["kind", "value"]).where("i < j").groupBy("i", "j").agg(F.count("*").alias("overlap"))
     out = both.join(n.select(F.col("column_id").alias("i"), F.col("n").alias("n_i")), "i").join(n.select(F.col("column_id").alias("j"), F.col("n").alias("n_j")), "j")
     return out.select("i", "j", "n_i", "n_j", "overlap", F.round(F.col("overlap") / (F.col("n_i") + F.col("n_j") - F.col("overlap")), 6).alias("jaccard"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from ..functions.sizes import bit_width, index_bytes
@@ -80,7 +82,7 @@ def _row_groups(t):
 
 @query("P04_process_selection", f"SELECT row_group_id, p - start AS local, p AS pos FROM (VALUES (1499::BIGINT), (5), (777), (5), (1000000000)) v(p), ({_GROUPS}) WHERE p >= start AND p < start + num_rows")
 def _(t):
-    return layout.selection(t.spark.createDataFrame([(p,) for p in _POSITIONS], "pos long"), _row_groups(t))
+    return layout.selection(t.spark.createDataFrame([(p,) for p in _POSITIONS], "pos long"), _row_groups(t), GROUP)
 
 
 @query("P05_chunk_of_row", f"SELECT 1234::BIGINT AS pos, floor(1234 / {U})::BIGINT AS unit_id, 1234 % {U}::BIGINT AS local, count(*) AS num_rows FROM orders WHERE floor(o_orderkey / {U}) = floor(1234 / {U})")
@@ -187,7 +189,9 @@ def _(t):
 
 @query("D10_extend_index", f"WITH d AS ({_BUILD}) SELECT o_orderkey AS pos, idx FROM orders LEFT JOIN d ON value = {_NULLED} WHERE floor(o_orderkey / {U}) = 1")
 def _(t):
-    return dictionary.encode(_nulled(t), "v", "o_orderkey").where(F.floor(F.col("pos") / U) == 1).select("pos", "idx")
+    df = _nulled(t)
+    before = dictionary.build(df.where(F.col("o_orderkey") < U), "v", "o_orderkey")
+    return dictionary.extended(before, df.where(F.floor(F.col("o_orderkey") / U) == 1), "v", "o_orderkey")[1]
 
 
 @query("D11_submit_values", _BUILD)
@@ -235,7 +239,7 @@ def _(t):
 
 @query("D08_sampled_scope")
 def _(t):
-    """As D07 over every unit whose hash falls in a tenth, scaled up: a sampling operator."""
+    """As D07 over every unit whose hash falls in three tenths, scaled up: a sampling operator."""
     s = dictionary.strategies("o_orderkey", U, U)
     some = t("orders").where(F.pmod(F.xxhash64(F.floor(F.col("o_orderkey") / U)), F.lit(10)) < 3)
     one = {k: dictionary.total(some, "o_orderpriority", "o_orderkey", s[k]).select((F.coalesce(F.col("dict_size") + F.col("index_size"), F.lit(0)) * (1 if k == "global" else 10 / 3)).alias(k)) for k in ("local", "global")}
@@ -261,22 +265,22 @@ def _(t):
 
 @query("D16_dictionary_flush", f"{_AB} SELECT 'common' AS chunk, count(*) AS n, sum(8)::BIGINT AS size FROM c UNION ALL SELECT 'a', count(*), sum(8)::BIGINT FROM a WHERE value NOT IN (SELECT value FROM c) UNION ALL SELECT 'b', count(*), sum(8)::BIGINT FROM b WHERE value NOT IN (SELECT value FROM c)")
 def _(t):
-    m = dictionary.merged(*_small_dicts(t))
-    chunk = F.when(F.col("common"), "common").otherwise(F.col("side"))
-    return m.where("not common or side = 'a'").groupBy(chunk.alias("chunk")).agg(F.count("*").alias("n"), F.sum(F.lit(8)).alias("size"))
+    return dictionary.flushed(dictionary.merged(*_small_dicts(t)), 8).select("chunk", "n", "size")
+
 
+_FLUSHED = "f AS (SELECT row_number() OVER (ORDER BY place) - 1 AS dict_id, chunk, n, n * 8 AS size FROM (SELECT 0 AS place, 'common' AS chunk, count(*) AS n FROM c UNION ALL SELECT 1, 'a', count(*) FROM a WHERE value NOT IN (SELECT value FROM c) UNION ALL SELECT 2, 'b', count(*) FROM b WHERE value NOT IN (SELECT value FROM c)) WHERE n > 0)"
+_REFS = f"{_AB}, {_FLUSHED}, r AS (SELECT side, dict_id, size FROM f, (VALUES ('a'), ('b')) v(side) WHERE chunk = 'common' OR chunk = side)"
 
-@query("D17_dictionary_positions", f"{_AB} SELECT 'a' AS side, [0::BIGINT, 1::BIGINT] AS chunks UNION ALL SELECT 'b', [0::BIGINT, 2::BIGINT]")
+
+@query("D17_dictionary_positions", f"{_REFS} SELECT side, list(dict_id ORDER BY dict_id) AS chunks FROM r GROUP BY 1")
 def _(t):
-    m = dictionary.merged(*_small_dicts(t)).groupBy("side").agg(F.count_if("common").alias("c"))
-    own = F.when(F.col("side") == "a", 1).otherwise(2).cast("long")
-    return m.select("side", F.when(F.col("c") > 0, F.array(F.lit(0).cast("long"), own)).otherwise(F.array(own)).alias("chunks"))
+    return dictionary.references(dictionary.flushed(dictionary.merged(*_small_dicts(t)), 8))
 
 
 # -- sharing -------------------------------------------------------------------------------------------------------
 _COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-_LONG = " UNION ".join(f"SELECT {i}::INTEGER AS column_id, {c}::VARCHAR AS value FROM lineitem" for i, c in enumerate(_COLS))
-_PAIRS = f"WITH v AS ({_LONG}), n AS (SELECT column_id, count(*) AS n FROM v GROUP BY 1), p AS (SELECT a.column_id AS i, b.column_id AS j, count(*) AS overlap FROM v a JOIN v b USING (value) WHERE a.column_id < b.column_id GROUP BY 1, 2) SELECT i, j, x.n AS n_i, y.n AS n_j, overlap, round(overlap / (x.n + y.n - overlap)::DOUBLE, 6) AS jaccard FROM p JOIN n x ON x.column_id = i JOIN n y ON y.column_id = j"
+_LONG = " UNION ".join(f"SELECT {i}::INTEGER AS column_id, typeof({c}) AS kind, {c}::VARCHAR AS value FROM lineitem" for i, c in enumerate(_COLS))
+_PAIRS = f"WITH v AS ({_LONG}), n AS (SELECT column_id, count(*) AS n FROM v GROUP BY 1), p AS (SELECT a.column_id AS i, b.column_id AS j, count(*) AS overlap FROM v a JOIN v b USING (kind, value) WHERE a.column_id < b.column_id GROUP BY 1, 2) SELECT i, j, x.n AS n_i, y.n AS n_j, overlap, round(overlap / (x.n + y.n - overlap)::DOUBLE, 6) AS jaccard FROM p JOIN n x ON x.column_id = i JOIN n y ON y.column_id = j"
 _RULE = "jaccard >= 0.01 AND NOT ((n_i + n_j) * jaccard / (1 + jaccard) < 1024 AND jaccard < 0.99)"
 
 
@@ -566,9 +570,25 @@ def _(t):
     return readers.merged([a, t("supplier").select(F.col("s_suppkey").cast("int").alias("c_custkey"), F.col("s_nationkey").cast("long").alias("c_nationkey"))], "c_custkey")
 
 
-@query("I05_windows", "SELECT i AS id, ((hash_window * 31) % 512 * 128 + i % 128)::BIGINT AS v FROM (SELECT i, floor(i / 128)::BIGINT AS hash_window FROM range(65536) r(i))")
+_N, _ZIPF = 512, 1.03
+_MASS = [k**-_ZIPF for k in range(1, _N + 1)]
+_ENDS = [round(sum(_MASS[: i + 1]) / sum(_MASS) * 2**52) for i in range(_N)]  # of the windows' shares among 52-bit draws
+_DRAW = "('0x' || substr(md5('w' || floor(i / 128)::BIGINT::VARCHAR), 1, 13))::BIGINT"
+_WINDOW = f"len(list_filter([{', '.join(f'{x}::BIGINT' for x in _ENDS[:-1])}], lambda e: e <= {_DRAW}))"
+_VALUE = "(('0x' || substr(md5(w::VARCHAR || ':' || (i % 128)::VARCHAR), 1, 13))::BIGINT % 2147483647)"
+
+
+@query("I05_windows", f"SELECT i AS id, {', '.join(f'v AS v{c}' for c in range(16))} FROM (SELECT i, {_VALUE}::BIGINT AS v FROM (SELECT i, {_WINDOW}::BIGINT AS w FROM range(65536) r(i)))")
 def _(t):
-    return t.spark.range(65536).select("id", (F.floor(F.col("id") / 128) * 31 % 512 * 128 + F.col("id") % 128).alias("v"))
+    """512 windows of 128 values, each drawn among 512 patterns by a Zipf law; 16 equal columns."""
+    def digest(c):
+        return F.conv(F.substring(F.md5(c), 1, 13), 16, 10).cast("long")
+
+    draw = t.spark.range(512).select(F.col("id").alias("window"), digest(F.concat(F.lit("w"), F.col("id").cast("string"))).alias("u"))
+    drawn = draw.select("window", F.size(F.filter(F.array(*map(F.lit, _ENDS[:-1])), lambda e: e <= F.col("u"))).cast("string").alias("w"))
+    cells = drawn.select("window", "w", F.explode(F.sequence(F.lit(0), F.lit(127))).alias("k")).select((F.col("window") * 128 + F.col("k")).alias("id"), "w")
+    v = F.pmod(digest(F.concat("w", F.lit(":"), (F.col("id") % 128).cast("string"))), F.lit(2147483647))
+    return cells.select("id", v.alias("v")).select("id", *(F.col("v").alias(f"v{c}") for c in range(16)))
 
 
 @query("I06_wide_table", "SELECT " + ", ".join(f"42.0::DOUBLE AS column_{i}" for i in range(100)) + " FROM range(8)")
@@ -576,9 +596,12 @@ def _(t):
     return readers.wide(t.spark, 100)
 
 
-@query("I07_ten_of_many", "SELECT " + ", ".join(f"42.0::DOUBLE AS column_{i}" for i in range(3, 1000, 100)) + " FROM range(8)")
+_TEN = random.Random(42).sample(range(1000), 10)
+
+
+@query("I07_ten_of_many", "SELECT " + ", ".join(f"42.0::DOUBLE AS column_{i}" for i in _TEN) + " FROM range(8)")
 def _(t):
-    return readers.wide(t.spark, 1000).select(*(f"column_{i}" for i in range(3, 1000, 100)))
+    return readers.wide(t.spark, 1000).select(*(f"column_{i}" for i in _TEN))
 
 
 _SKEW = "CASE WHEN event_id * 7919 % 100 < 60 THEN 0 WHEN event_id * 7919 % 100 < 85 THEN 1 ELSE event_id * 7919 % 100 % 10 + 2 END"
@@ -628,19 +651,21 @@ def _(t):
     return t("events").agg(accounting.mean_nonzero(F.col("user_id") % 3).alias("mean"))
 
 
-_REFS = [(0, 0), (0, 1), (3, 0), (3, 2), (1, 3), (4, 3), (2, 4), (0, 0)]
-_REFS_SQL = "(VALUES " + ", ".join(f"({a}, {b})" for a, b in _REFS) + ") r(column_id, dict_id)"
+def _references(t):
+    """Chunks (dict_id, size) and who refers to them, as a merged pair of columns is written."""
+    chunks = dictionary.flushed(dictionary.merged(*_small_dicts(t)), 8)
+    refs = dictionary.references(chunks).select(F.when(F.col("side") == "a", 0).otherwise(1).alias("column_id"), F.explode("chunks").alias("dict_id"))
+    return refs, chunks.select("dict_id", "size")
 
 
-@query("A04_dictionary_sizes", f"SELECT column_id, sum((dict_id + 1) * 100)::BIGINT AS dict_size FROM (SELECT DISTINCT * FROM {_REFS_SQL}) GROUP BY 1")
+@query("A04_dictionary_sizes", f"{_REFS} SELECT CASE side WHEN 'a' THEN 0 ELSE 1 END::INTEGER AS column_id, sum(size)::BIGINT AS dict_size FROM r GROUP BY 1")
 def _(t):
-    refs = t.spark.createDataFrame(_REFS, "column_id int, dict_id int")
-    return accounting.dictionary_sizes(refs, t.spark.range(5).select(F.col("id").cast("int").alias("dict_id"), ((F.col("id") + 1) * 100).alias("size")))
+    return accounting.dictionary_sizes(*_references(t))
 
 
-@query("A05_sharing_peers", f"SELECT DISTINCT a.column_id, b.column_id AS peer FROM {_REFS_SQL.replace(') r(', ') a(')} JOIN {_REFS_SQL.replace(') r(', ') b(')} ON a.dict_id = b.dict_id WHERE a.column_id <> b.column_id")
+@query("A05_sharing_peers", f"{_REFS}, q AS (SELECT CASE side WHEN 'a' THEN 0 ELSE 1 END::INTEGER AS column_id, dict_id FROM r) SELECT DISTINCT x.column_id, y.column_id AS peer FROM q x JOIN q y ON x.dict_id = y.dict_id WHERE x.column_id <> y.column_id")
 def _(t):
-    return accounting.peers(t.spark.createDataFrame(_REFS, "column_id int, dict_id int"))
+    return accounting.peers(_references(t)[0])
 
 
 @query("A07_row_count", "SELECT count(*) AS n FROM lineitem")
