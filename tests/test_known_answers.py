@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from lamina.functions.bits import double_bits
 from lamina.functions.sizes import bit_width, index_bytes
 from lamina.operators import codecs, dictionary, encodings, layout, sharing, ude
-from lamina.sources import readers
+from lamina.sources import footers, readers
 
 
 def column(spark, values, kind="long"):
@@ -135,3 +135,130 @@ def test_window_dictionary_refuses_too_many_patterns(spark):
     assert encodings.window_entries(df, "v", "pos", 128 * 300).where("code is not null").count() == 0
 
 
+
+
+def test_footers_agree_with_another_reader(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.01/orders.parquet"
+    got = footers.footers(spark, path).orderBy("row_group_id", "column_id").collect()
+    want = duckdb.sql(f"SELECT row_group_id, column_id, path_in_schema, num_values, compression, total_compressed_size, total_uncompressed_size, row_group_num_rows FROM parquet_metadata('{path}') ORDER BY 1, 2").fetchall()
+    assert [(r.row_group_id, r.column_id, r.path, r.num_values, r.compression, r.size, r.plain_size, r.num_rows) for r in got] == want
+    p = footers.postscripts(spark, path).collect()[0]
+    size = duckdb.sql(f"SELECT footer_size FROM parquet_file_metadata('{path}')").fetchall()[0][0]
+    assert (p.file, p.footer_size, p.valid) == ("orders.parquet", size, True)
+
+
+def test_files_that_workers_cannot_open_come_as_rows(spark, tmp_path, monkeypatch):
+    import xxhash
+
+    good = open("/root/testdata/sf0.001/region.parquet", "rb").read()
+    (tmp_path / "a.parquet").write_bytes(good)
+    (tmp_path / "b.parquet").write_bytes(good[:-4] + b"EVIL")
+    (tmp_path / "c.parquet").write_bytes(b"xy")
+    plain = [sorted(map(tuple, f(spark, str(tmp_path)).collect())) for f in (footers.checksums, footers.postscripts)]
+    monkeypatch.setattr(footers, "NATIVE", set())
+    whole = [sorted(map(tuple, f(spark, str(tmp_path)).collect())) for f in (footers.checksums, footers.postscripts)]
+    assert plain == whole
+    assert [r[2] for r in plain[0][:2]] == [int.from_bytes(xxhash.xxh64_digest(good[:-8]), "big", signed=True)] * 2
+    assert [(r[0], r[3]) for r in plain[1]] == [("a.parquet", True), ("b.parquet", False), ("c.parquet", False)]
+
+
+def test_a_unit_of_many_windows_is_stored_plainly(spark):
+    df = spark.range(300 * 128).select(F.col("id").alias("pos"), (F.col("id") * 7).alias("v"))
+    entries = encodings.window_entries(df, "v", "pos", 1 << 20)
+    assert entries.where("code is null").count() == 300
+    back = encodings.from_windows(entries)
+    assert back.count() == 300 * 128 and back.where("value <> pos * 7").count() == 0
+
+
+def test_types_tell_values_apart(spark):
+    df = spark.createDataFrame([(i, str(i), i) for i in range(50)], "a long, b string, c long")
+    found = sharing.pairs(sharing.long_values(df, df.columns)).collect()
+    assert [(r.i, r.j, r.overlap) for r in found] == [(0, 2, 50)]
+
+
+def test_a_dictionary_extended_is_the_dictionary_of_all(spark):
+    df = column(spark, [5, 3, None, 5, 9, 3, 8, 9, 1, 5, None, 8])
+    whole = {r.value: r.idx for r in dictionary.build(df, "v", "pos").collect()}
+    before = dictionary.build(df.where("pos < 6"), "v", "pos")
+    entries, codes = dictionary.extended(before, df.where("pos >= 6"), "v", "pos")
+    assert {r.value: r.idx for r in entries.collect()} == whole
+    assert {r.pos: r.idx for r in codes.collect()} == {i: whole.get(v) for i, v in enumerate([5, 3, None, 5, 9, 3, 8, 9, 1, 5, None, 8]) if i >= 6}
+
+
+def test_ranks_across_strides(spark):
+    df = spark.range(5).select((F.col("id") * 70_000).alias("o"))
+    assert [r.r for r in dictionary.ranked(df, "o", "r").orderBy("o").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_typed_bins_and_array_packs():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for kind in ude.TYPED:
+        v = (rng.standard_normal(500) * 900).astype(kind)
+        for mask in (None, rng.random(500) < 0.3):
+            array = pa.array(v, mask=mask)
+            assert pa.concat_arrays(list(ude.encoding("typed_bins").decode(ude.encoding("typed_bins").encode(array)))) .equals(array)
+    for kind in ude.UNSIGNED:
+        array = pa.array(rng.integers(0, 200, 2048).astype(kind))
+        data = ude.encoding("arraypack").encode(array)
+        assert pa.concat_arrays(list(ude.encoding("arraypack").decode(data))).equals(array) and len(data) == 2048 + 12
+        assert ude.encoding("arraypack").first(data).equals(array[:1024])
+    for bad in (pa.array([1, 2, 3]), pa.array([None] * 1024, pa.int64()), pa.array([-1] * 1024)):
+        with pytest.raises(ValueError):
+            ude.encoding("arraypack").encode(bad)
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_plans_at_scale(spark):
+    """No nested loop over data for selections, one scan for the study."""
+    from lamina.operators import accounting
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    groups = layout.placed(orders, "o_orderkey", 1024, 4000).groupBy("row_group_id").agg(F.min("o_orderkey").alias("start"), F.count("*").alias("num_rows"))
+    assert "NestedLoop" not in plan(layout.selection(spark.range(100).withColumnRenamed("id", "pos"), groups, 4000))
+    study = accounting.study(orders, "o_orderkey", ["o_orderpriority", "o_orderstatus"], 1024, 4096)
+    physical = study._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Scan parquet") == 1 and "PushedFilters" in physical
+
+
+def test_chunks_of_a_long_row_group(spark):
+    sizes = spark.range(20_000).select(F.lit(0).alias("column_id"), F.lit(0).cast("long").alias("row_group_id"), F.col("id").alias("unit_id"), F.lit(10).cast("long").alias("num_rows"), F.lit(7).cast("long").alias("bytes"))
+    found = layout.cut_chunks(sizes, 20)
+    assert found.where("chunk_id <> floor(unit_id / 3)").count() == 0
+
+
+def test_rollup_of_a_stream(spark, tmp_path):
+    from lamina.streaming import unit_rollup
+
+    rows = [("2024-01-01 00:00:01", "ab"), ("2024-01-01 00:00:59", "c"), ("2024-01-01 00:01:00", "defg"), ("2024-01-01 00:09:00", "z")]
+    spark.createDataFrame(rows, "t string, v string").select(F.col("t").cast("timestamp").alias("t"), "v").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("t timestamp, v string").parquet(str(tmp_path / "in"))
+    query = unit_rollup(stream, "t", "1 minute", "1 minute", "v").writeStream.format("memory").queryName("rolled").outputMode("complete").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert [(r.num_rows, r.bytes) for r in spark.table("rolled").orderBy("start").collect()] == [(2, 3), (1, 4), (1, 1)]
+
+
+def test_scratch_tables_need_a_shared_folder_and_go(spark):
+    from lamina.sources import scratch
+
+    class Cluster:
+        conf = {}  # noqa: RUF012
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "yarn", "x"
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_folder(Cluster)
+    df = scratch.written(spark.range(3), "numbers")
+    path = df.scratch_path.removeprefix("file://")
+    import os
+
+    assert df.count() == 3 and os.path.isdir(path)
+    scratch.discard(df)
+    assert not os.path.exists(os.path.dirname(path))
