@@ -6,8 +6,14 @@ line are counted by different content, so exact copies of one document count onc
 more than ``max_lost`` of its words is depleted and rejected. The base rules reject short and repetitive texts; they
 judge texts as they came, before lines are removed.
 
-Defined results: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows are
-judged each, and counted once; ids play no part. Lines without a word are never over a limit and stay.
+Counting documents by content rather than by id is a choice: a page copied a thousand times is one document that near
+dedup will keep once, while its ids would put each of its lines over the limit and reject every copy (``distinct``
+chooses).
+
+Defined results: a null or empty text has no words and fails the base rules; a null host is a host of its own; repeated
+rows are judged each, and counted once; ids play no part, null or not; a line at the limit stays; lines without a word
+are never over a limit and stay; an empty table gives an empty one; extra columns stay in ``filtered``, whatever their
+names. Whole texts are measured however long they are; a text of b bytes takes some 40 * b bytes in its task.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, SPACE, hot_join, mix, pieces, powers, utf8, windows, word_hashes, written
+from .common import NO_ID, SPACE, hot_join, marked, mix, pieces, powers, utf8, windows, word_hashes, written
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -133,8 +139,11 @@ def filtered(docs: DataFrame, **how) -> DataFrame:
     keyed = written(docs.toDF(*own).withColumn("__rid", F.monotonically_increasing_id()), "rows")  # numbered once for all
     host = how.pop("host", "source")
     view = keyed.select(F.col("__rid").alias("doc_id"), F.col(text).alias("text"), F.col(place[host]).alias("host"))
-    kept = judged(view, host="host", **how).where("kept").select(F.col("doc_id").alias("__rid"), F.col("over_lines").alias("__over"))
-    both = keyed.join(kept, "__rid").drop("__rid")
+    verdict = judged(view, host="host", **how).where("not kept or over_lines is not null").select(F.col("doc_id").alias("id"), F.col("kept").alias("__kept"), F.col("over_lines").alias("__over"))
+    odd = written(verdict, "odd")  # who goes or loses a line: the others' texts don't shuffle
+    here = marked(keyed.withColumnRenamed("__rid", "id"), odd.select("id"))
+    met = here.where("__may").join(odd, "id", "left").where(F.coalesce("__kept", F.lit(True))).select(*own, "__over")
+    both = met.unionAll(here.where("not __may").select(*own, F.lit(None).cast("array<int>").alias("__over")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
