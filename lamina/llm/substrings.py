@@ -129,7 +129,8 @@ def lost_windows(docs: DataFrame, k: int, n: int, stretch: int = STRETCH) -> Dat
         yield from settle()
 
     found = docs.select(id_or_least().alias("id"), "text").mapInArrow(entries, _SQL)
-    spread = found.repartition(min(n, MOST_TASKS), "block").sortWithinPartitions("block", "kind")
+    tasks = min(n, MOST_TASKS)  # each with its own blocks: hashing them would give some tasks several
+    spread = found.repartitionById(tasks, F.pmod("block", F.lit(tasks)).cast("int")).sortWithinPartitions("block", "kind")
     return spread.mapInArrow(losers, _SQL).select("block", "ids", "hashes")
 
 
