@@ -207,17 +207,17 @@ def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of ``edges`` (a, b): the smallest id reachable.
 
-    Alternating large-star and small-star steps; each step is a minimum with map-side combine and a join that
-    adaptive execution can split, so a hub with very many links isn't gathered in one task. Every round is written
-    to the shared folder, and the one before it deleted. Nothing but two sums for the stop test reaches the driver.
+    Alternating large-star and small-star steps; each step is a minimum with map-side combine and a join that deals a
+    hub's links to many tasks. Every round is written to the shared folder, and the one before it deleted. Nothing but
+    two sums for the stop test reaches the driver.
     """
 
-    def stars(e: DataFrame) -> DataFrame:
+    def stars(e: DataFrame, n: int) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        kept = large.join(small, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = hot_join(both, least, ["u"], "n", 2 * n, "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        kept = hot_join(large, small, ["u"], "n", 2 * n, "v").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return kept.unionAll(small.select("u", "m")).distinct()
 
     def state(e: DataFrame) -> tuple:
@@ -226,7 +226,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     seen = state(now)
     while seen[0]:
-        before, now = now, written(stars(now), "stars")
+        before, now = now, written(stars(now, seen[0]), "stars")
         found = state(now)
         discard(before)
         if found == seen:

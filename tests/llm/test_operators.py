@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.llm import embeddings, entries, langid, linededup, mixing, neardup, packing, quality, secrets, sharding, substrings
+from lamina.llm import common, embeddings, entries, langid, linededup, mixing, neardup, packing, quality, secrets, sharding, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, rid int, n int"
@@ -469,3 +469,223 @@ def test_vectors_that_repeat_an_id_stand_for_themselves(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("key", F.lit("x")).withColumn("id", F.lit(1))
     got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.clusters(df).collect())
     assert got == Counter([(1, 2, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 0, 4, True), (0, 0, 0, True), (5, 2, 1, False)])
+
+
+def brute_mix(rows, block_words):
+    """rid -> words taken: (rid, source, size, h as an unsigned number, doc_id, content) rows."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r[1]].append(r)
+    names = sorted((s for s in by if s is not None), key=lambda s: s.encode()) + [None] * (None in by)
+    size = {s: sum(r[2] for r in by[s]) for s in names}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, target = sum(size.values()), {}
+    while True:  # those above their cap stop there, the rest share what is left
+        left, share = total - sum(target.values()), sum(weight[s] for s in names if s not in target)
+        over = [s for s in names if s not in target and left * weight[s] / share > 3 * size[s]]
+        if not over:
+            target |= {s: left * weight[s] / share for s in names if s not in target}
+            break
+        target |= {s: 3 * size[s] for s in over}
+    block = {s: max(1, min(max(block_words, -(-total // mixing.MOST_SLOTS)), size[s] // 256)) for s in names}
+    n_blocks = {s: -(-size[s] // block[s]) for s in names}
+    slots = {s: min(int(target[s] * n_blocks[s] / size[s] + 0.5), 3 * n_blocks[s]) if size[s] else 0 for s in names}
+    n, ends, uses, rank = sum(slots.values()), np.cumsum([slots[s] for s in names]), Counter(), Counter()
+    for j in range(n):
+        s = names[int(np.searchsorted(ends, (j * mixing.GOLDEN % 2**32) * n >> 32, "right"))]
+        if rank[s] < 3 * n_blocks[s]:
+            uses[s, rank[s] % n_blocks[s]] += 1
+        rank[s] += 1
+    taken = Counter()
+    for s in names:
+        at = 0
+        for r in sorted((r for r in by[s] if r[2]), key=lambda r: (r[3], r[4] is not None, r[4] or 0, r[5])):
+            for w in range(at, at + r[2]):
+                taken[r[0]] += uses[s, w // block[s]]
+            at += r[2]
+    return taken, target
+
+
+def mixed_rows(df):
+    """What ``brute_mix`` takes, with rid the place in the list."""
+    told = df.select("doc_id", "source", "text", F.xxhash64("text").alias("content")).withColumn("h", F.xxhash64("doc_id", "content", F.lit(7)))
+    return [(i, r.source, len(WORD.findall(r.text or "")), r.h % 2**64, r.doc_id, r.content) for i, r in enumerate(told.collect())]
+
+
+def test_mixing_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    data = [(i, " ".join(f"w{j}" for j in range(int(rng.integers(0, 90)))) or None, [None, "a", "b", "c", "d"][int(rng.integers(5)) if i % 3 else 1]) for i in range(240)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5).cache()
+    for words in (8, 1024):
+        taken, target = brute_mix(rows := mixed_rows(df), words)
+        got = {r.doc_id: r for r in mixing.mixed(df, words).collect()}
+        assert {i: r.taken for i, r in got.items()} == {r[4]: taken[r[0]] for r in rows}
+        assert all(abs(got[r[4]].target - target[r[1]]) < 1e-6 for r in rows)
+        assert all(abs(sum(got[r[4]].taken for r in rows if r[1] == s) - target[s]) <= 0.06 * target[s] + 4 for s in target)
+
+
+def pipeline_rows():
+    rng = np.random.default_rng(21)
+    own = lambda n: " ".join(f"{rng.choice(['al', 'be', 'ga'])}{rng.integers(10**6)}" for _ in range(n))
+    line = "This very line stands in documents of every source, so it is common"
+    out = [own(60 + i) + ("\n" + line.upper() if i % 2 else "\n" + line + "  ") + "\n" + own(8) for i in range(40)]
+    menu = "Menu of one site with links to all the other pages of it"
+    out += [f"{menu}\n{own(70)}" for _ in range(25)]
+    out += [out[0]] * 3 + [out[1] + " more", "x " + out[1], own(300), own(12), None, "", own(5) * 40]
+    sources = [("s1", "s2", None)[i % 3] for i in range(40)] + ["site"] * 25 + ["s1"] * (len(out) - 65)
+    return [(i if i != 70 else None, t, "en", s, len(t or "")) for i, (t, s) in enumerate(zip(out, sources))]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage's rows, from what the stage before it gave."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    spark.createDataFrame(pipeline_rows(), "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    stages, docs, after = dict(corpus_pipeline.STAGES), spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        after.append([tuple(r) for r in docs.collect()])
+        assert i == len(stages) - 1 or docs.columns == names
+
+    def key(x):
+        return " ".join(WORD.findall(x)).translate({i: i + 32 for i in range(65, 91)})
+
+    # 1: base rules, lines over the limit, depleted documents
+    data, held, of_host = pipeline_rows(), defaultdict(set), defaultdict(set)
+    for _, t, _, s, _ in data:
+        of_host[s].add(t or "")
+        for x in (t or "").split("\n"):
+            held[s, key(x)].add(t or "")
+    want = Counter()
+    for i, t, *rest in data:
+        w = WORD.findall(t or "")
+        tri = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+        again = {j + q for j in range(len(w) - 2) if tri[tuple(w[j : j + 3])] > 1 for q in range(3)}
+        lines = [(x, bool(key(x)) and len(held[rest[1], key(x)]) > max(20, 0.005 * len(of_host[rest[1]]))) for x in (t or "").split("\n")]
+        lost = sum(len(WORD.findall(x)) for x, o in lines if o)
+        if len(w) >= 50 and len(again) <= 0.5 * len(w) and lost <= 0.7 * len(w):
+            want[(i, "\n".join(x for x, o in lines if not o), *rest)] += 1
+    assert Counter(after[0]) == want and any("Menu" not in (r[1] or "") and r[3] == "site" for r in after[0])
+    # 2: lines
+    strip = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x).translate({i: i + 32 for i in range(65, 91)})
+    held = defaultdict(set)
+    for i, t, *_ in after[0]:
+        for x in t.split("\n"):
+            if len(strip(x)) >= 40:
+                held[strip(x)].add((i is not None, i if i is not None else t))
+    want = Counter()
+    for i, t, *rest in after[0]:
+        own = (i is not None, i if i is not None else t)
+        want[(i, "\n".join(x for x in t.split("\n") if not (len(held[strip(x)]) >= 5 and max(held[strip(x)]) != own)), *rest)] += 1
+    assert Counter(after[1]) == want and after[1] != after[0]
+    # 3: near duplicates
+    comp = brute_components({i: t for i, t, *_ in after[1] if i is not None}, 5)
+    assert Counter(after[2]) == Counter(r for r in after[1] if r[0] is None or comp[r[0]][2]) and len(after[2]) < len(after[1])
+    # 4: the mix: whole copies, and a first part where a block ends
+    before = spark.read.parquet(str(tmp_path / "2"))
+    told = before.select(*names, F.xxhash64(*names).alias("content")).withColumn("h", F.xxhash64("doc_id", "content", F.lit(7))).collect()
+    taken, _ = brute_mix([(i, r.source, len(WORD.findall(r.text)), r.h % 2**64, r.doc_id, r.content) for i, r in enumerate(told)], 1024)
+    want = Counter()
+    for i, r in enumerate(told):
+        words = list(WORD.finditer(r.text))
+        times, rest = divmod(taken[i], len(words))
+        parts = [r.text] * times + ([r.text[: words[rest - 1].end()]] if rest else [])
+        want.update((r.doc_id, x, r.lang, r.source, len(x) if x != r.text else len(r.text)) for x in parts)
+    assert Counter(after[3]) == want
+    # 5: every id of every document, in its place
+    t = Tokenizer.from_file(entries.vocabulary())
+    ids = Counter((i, (*t.encode(x, add_special_tokens=False).ids, 2)) for i, x, *_ in after[3])
+    found, now = Counter(), None
+    for r in sorted((r.asDict() for r in docs.collect()), key=lambda r: (r["sequence_id"], r["offset"])):
+        if r["start"] == 0:
+            now = (r["doc_id"], [])
+        now[1].extend(r["ids"])
+        if len(now[1]) == r["doc_tokens"]:
+            found[now[0], tuple(now[1])] += 1
+    assert found == ids
+
+
+def test_large_buckets_are_compared_by_size(spark, monkeypatch):
+    """Chains of alike texts of many sizes, through cells of neighbouring sizes and through blocks."""
+    monkeypatch.setattr(neardup, "WIDE", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(200)]
+    texts = {i: " ".join(base[: int(rng.integers(40, 200))] + [f"x{i}.{j}" for j in range(int(rng.integers(0, 9)))]) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.clusters(df, k=2).collect()}
+    assert got == brute_components(texts, 2)
+
+
+def test_a_very_long_text_is_treated_whole(spark):
+    """A text of some megabytes, hashed in several parts, with copies; every operator sees its end."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}" for a, b in zip(rng.choice(["straße", "Haus", "river", "ño"], 400_000), rng.integers(0, 60_000, 400_000))]
+    long = " ".join(words[:200_000]) + "\n" + LINE + " end\n" + " ".join(words[200_000:]) + "\npassword = hunter2222"
+    assert len(long.encode()) > 1.5 * common.STEP
+    data = [(1, long, "en", "a"), (2, long + " more", "en", "a"), (3, "few words here", "de", "b"), *((10 + i, f"{LINE} end\n{i} w{i}", "de", "b") for i in range(5)), (None, long, None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(3)
+    n = len(WORD.findall(long))
+    r = {x.doc_id: x for x in secrets.scanned(df).collect()}[1]
+    assert r.n_assign == 1 and r.spans.split(",")[-1] == f"assign:{len(long) - 21}:{len(long)}"
+    r = {x.doc_id: x for x in langid.labelled(df, steps=5).collect()}[1]
+    assert r.n_words == n == r.labels[-1].end
+    r = {x.doc_id: x for x in linededup.line_report(df).collect()}
+    assert (r[1].n_lines, r[1].n_dropped, r[14].n_dropped) == (4, 1, 0)
+    r = [x for x in packing.packed_pieces(df, entries.vocabulary()).collect() if x.doc_id == 1]
+    assert r[0].doc_tokens == 1 + len(Tokenizer.from_file(entries.vocabulary()).encode(long, add_special_tokens=False).ids) == sum(x.length for x in r)
+    r = {x.doc_id: x for x in neardup.clusters(df, k=2).collect()}
+    low = long.translate({i: i + 32 for i in range(65, 91)}).encode().split()
+    assert r[1].n_shingles == len(set(zip(low, low[1:]))) and r[2].component_id == 1 and r[None].kept
+    r = {x.doc_id: x for x in quality.judged(df).collect()}[1]
+    tri = Counter(zip(*(WORD.findall(long)[j:] for j in range(3))))
+    assert (r.n_words, r.word_chars) == (n, len(re.sub(r"[\x20\x09-\x0D]", "", long))) and r.n_repeat_words <= 3 * sum(v for v in tri.values() if v > 1)
+    r = {x.doc_id: x for x in sharding.sharded(df).collect()}[1]
+    assert (r.size, r.text_crc32) == (len(long.encode()) + 1, zlib.crc32(long.encode()))
+    assert {x.doc_id: x.size for x in mixing.mixed(df).collect()}[1] == n
+    r = {x.doc_id: x for x in substrings.substring_report(df).collect()}
+    assert (r[2].n_words, r[2].n_removed, r[None].n_removed) == (n + 1, n, 0)
+
+
+def test_null_ids_do_not_meet(spark):
+    """A third of the rows without an id: they are treated one by one, and no operator fails."""
+    data = [(None if i % 3 == 0 else i, f"{LINE} of many\nown {i} " + " ".join(f"w{i}x{j}" for j in range(60)), "en", f"s{i % 2}") for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(7)
+    r = linededup.line_report(df).collect()
+    assert sorted((x.doc_id or 0, x.n_dropped) for x in r) == sorted((d or 0, int(d != 299)) for d, *_ in data)
+    brute = substrings.brute_force({(-1 if d is None else d): t for d, t, *_ in data if d is not None})
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in substrings.substring_report(df.where("doc_id is not null")).collect()}
+    assert got == {d: v[:2] for d, v in brute.items()}
+    assert all(x.n_removed == 0 for x in substrings.substring_report(df).where("doc_id is null").collect())
+    assert neardup.clusters(df).where("doc_id is null and kept").count() == 100
+    assert neardup.kept(df).count() == 300
+    for f in (secrets.scanned, quality.judged, sharding.sharded, mixing.mixed, lambda x: langid.labelled(x, steps=3)):
+        assert f(df).count() == 300
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (2, f"{a} {b}"), (1, a)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.substring_report(df).collect())
+    assert got == Counter([(1, 30, 0), (1, 30, 0), (1, 30, 0), (2, 60, 60)])
+
+
+def test_languages_of_the_common_rows(docs):
+    r = langid.labelled(docs, steps=5).collect()
+    assert len(r) == len(rows()) and {x.lang_pred for x in r} <= {"en", "de", "und"}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows() if i is not None}
+    assert all(x.held_out == held.get(x.doc_id, False) and (x.lang_pred == "und") == (not x.labels) for x in r)
+
+
+def test_documents_of_a_host_by_id(spark):
+    """One page under many ids: one document by content, many by id."""
+    page = "\n".join(" ".join(f"p{i}x{j}" for j in range(12)) for i in range(6))
+    df = spark.createDataFrame([(i, page, "h") for i in range(30)], "doc_id long, text string, source string")
+    assert quality.judged(df).where("kept").count() == 30
+    assert quality.judged(df, distinct="doc_id").where("kept or lost_words <> 72").count() == 0
