@@ -237,13 +237,22 @@ def _(t):
     return one["local"].crossJoin(one["global"]).withColumn("choice", dictionary.choose(F.col("local"), F.col("global")))  # one row each
 
 
-@query("D08_sampled_scope")
+_DRAWN = f"('0x' || substr(md5('unit:' || floor(o_orderkey / {U})::BIGINT::VARCHAR), 1, 13))::BIGINT % 10 < 3"
+_SCALE = 10 / 3
+
+
+def _sampled_sql(scope: str) -> str:
+    return f"(SELECT coalesce(dict_size + index_size, 0) AS cost FROM ({_costs(scope).replace('FROM orders', f'FROM orders WHERE {_DRAWN}')}))"
+
+
+@query("D08_sampled_scope", f"SELECT local, global, CASE WHEN local <= global THEN 'local' ELSE 'global' END AS choice FROM (SELECT l.cost * {_SCALE!r}::DOUBLE AS local, g.cost::BIGINT AS global FROM {_sampled_sql(f'floor(o_orderkey / {U})')} l, {_sampled_sql('0')} g)")
 def _(t):
     """As D07 over every unit whose hash falls in three tenths, scaled up: a sampling operator."""
     s = dictionary.strategies("o_orderkey", U, U)
-    some = t("orders").where(F.pmod(F.xxhash64(F.floor(F.col("o_orderkey") / U)), F.lit(10)) < 3)
-    one = {k: dictionary.total(some, "o_orderpriority", "o_orderkey", s[k]).select((F.coalesce(F.col("dict_size") + F.col("index_size"), F.lit(0)) * (1 if k == "global" else 10 / 3)).alias(k)) for k in ("local", "global")}
-    return one["local"].crossJoin(one["global"]).withColumn("choice", dictionary.choose(F.col("local"), F.col("global")))
+    unit = F.floor(F.col("o_orderkey") / U).cast("string")
+    some = t("orders").where(F.conv(F.substring(F.md5(F.concat(F.lit("unit:"), unit)), 1, 13), 16, 10).cast("long") % 10 < 3)
+    one = {k: dictionary.total(some, "o_orderpriority", "o_orderkey", s[k]).select((F.coalesce(F.col("dict_size") + F.col("index_size"), F.lit(0)) * (1 if k == "global" else _SCALE)).alias(k)) for k in ("local", "global")}
+    return one["local"].crossJoin(one["global"]).withColumn("choice", dictionary.choose(F.col("local"), F.col("global")))  # one row each
 
 
 _A = "SELECT row_number() OVER (ORDER BY min(l_orderkey)) - 1 AS idx, l_orderkey % 40 AS value FROM lineitem GROUP BY 2"
@@ -527,9 +536,10 @@ def _(t):
     return t("lineitem").select("l_returnflag", "l_linestatus").distinct()
 
 
-@query("T10_hash_sample")
+@query("T10_hash_sample", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('draw:' || o_orderkey::VARCHAR) LIMIT 150")
 def _(t):
-    return t("orders").where(F.pmod(F.xxhash64("o_orderkey"), F.lit(100)) < 10)
+    """So many rows without replacement, by hash: a sampling operator."""
+    return t("orders").select("o_orderkey", "o_totalprice").orderBy(F.md5(F.concat(F.lit("draw:"), F.col("o_orderkey").cast("string")))).limit(150)
 
 
 # -- ingest and sinks ----------------------------------------------------------------------------------------------

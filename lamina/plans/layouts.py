@@ -107,6 +107,10 @@ def _(t):
     return row.select(F.inline(F.array(*(F.struct(F.lit(n).cast("long").alias("group_rows"), F.col(str(n)).alias("groups")) for n in sizes))))
 
 
-@query("W22_physical_columns")
+_KIND = "CASE {0} WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'FLOAT' THEN 'float' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' END"
+_DESCRIBED = "SELECT row_number() OVER () AS r, column_name AS c, replace(column_type, '[]', '') AS k, column_type LIKE '%[]' AS list FROM (DESCRIBE embeddings)"
+
+
+@query("W22_physical_columns", f"WITH d AS ({_DESCRIBED}), p AS (SELECT r, 0 AS o, c AS path, CASE WHEN list THEN 'list' ELSE {_KIND.format('k')} END AS kind FROM d UNION ALL SELECT r, 1, c || '.item', {_KIND.format('k')} FROM d WHERE list) SELECT (row_number() OVER (ORDER BY r, o) - 1)::INTEGER AS column_id, path, kind FROM p")
 def _(t):
     return t.spark.createDataFrame(layout.physical_columns(t("embeddings").schema), "column_id int, path string, kind string")
