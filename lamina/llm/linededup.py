@@ -7,7 +7,8 @@
 3. The merged *twice* filter is broadcast; its size is bounded by ``MAX_BITS``, whatever the corpus. Beyond the size
    that the corpus would need, more keys pass by chance and shuffle; the result is the same.
 4. Suspects shuffle as (128-bit key, document): documents per key and the document that keeps its lines are exact.
-5. Documents that may lose a line, by a filter of ids, are joined to the keys that they lose; others don't shuffle.
+5. Documents that may lose a line, by a filter of ids, meet the keys that they lose, texts in compressed blocks; others
+   don't shuffle.
 
 Defined results: a null or empty text is one empty line. Rows with a null id and one text are one document, below all
 that have an id; the text's hash stands for the id, so they don't meet under one key. Rows that repeat an id are one
@@ -27,8 +28,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SPACE, discard, hot_join, marked, mix, pieces, partitions, text_bytes, written
+from .common import blocked, blocks_for, discard, hot_join, marked, mix, partitions, pieces, text_bytes, unblocked, written
 
 MAX_BITS = 1 << 28  # 32 MB for a filter
 SEGMENTS = 256
@@ -117,9 +120,8 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
     return out
 
 
-def dropped_keys(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: int | None = None) -> DataFrame:
+def dropped_keys(docs: DataFrame, min_chars: int, min_docs: int, bits: int) -> DataFrame:
     """Written: (named, id, keys), for each document that loses lines (``named``: 0 where ``id`` stands for a null) its lost keys."""
-    bits = bits or filter_bits(text_bytes(docs))
     twice = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, min_chars, bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +150,8 @@ def dropped_keys(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits:
     return out
 
 
-def apply_lines(docs: DataFrame, lost: DataFrame, min_chars: int, digest: bool) -> DataFrame:
-    """The rows of ``docs`` without the lines in ``lost``: texts as they stay, or their counts and digests."""
+def apply_lines(docs: DataFrame, lost: DataFrame, min_chars: int, digest: bool, n: int) -> DataFrame:
+    """The rows of ``docs`` without the lines in ``lost``, by way of ``n`` blocks: texts as they stay, or their counts and digests."""
     own = [f"c{i}" for i in range(len(docs.columns))]  # clashing names can't meet here
     place = {c: own[i] for i, c in enumerate(docs.columns)}
     text = place["text"]
@@ -158,40 +160,56 @@ def apply_lines(docs: DataFrame, lost: DataFrame, min_chars: int, digest: bool)
         here = here.select(F.col(place["doc_id"]).cast("long").alias("doc_id"), F.col(text).alias("text"), "named", "id")
         text = "text"
     here = marked(here, lost.select("id"))
-    met = here.where("__may").join(lost, ["named", "id"], "left").select(*here.columns, "keys")
-    both = met.unionAll(here.where("not __may").withColumn("keys", F.lit(None).cast("array<binary>"))).drop("named", "id", "__may")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    same, may = here.where("not __may").drop("named", "id", "__may"), here.where("__may").drop("__may")
+    schema = T.StructType.fromDDL("doc_id long, n_lines long, n_dropped long, kept_sha256 string") if digest else same.schema
+
+    def treated(part: pa.RecordBatch, lose: dict | None) -> pa.RecordBatch:
+        texts, n_lines, gone = part.column(text).to_pylist(), [], []
+        ids = zip(part.column("named").to_pylist(), part.column("id").to_pylist(), strict=True) if lose is not None else None
+        for i in range(part.num_rows):
+            drop, kept = lose.get(next(ids)) if ids else None, None
+            if digest:
+                n_lines.append(texts[i].count("\n") + 1 if texts[i] else 1)
+            if drop:
+                kept = [x for x, k in zip((texts[i] or "").split("\n"), line_keys(texts[i], min_chars), strict=True) if k not in drop]
+                texts[i] = "\n".join(kept)
+            if digest:
+                gone.append(n_lines[-1] - len(kept) if kept is not None else 0)
+        if digest:
+            sha = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+        at = part.schema.get_field_index(text)
+        part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+        return part.drop_columns(["named", "id"]) if lose is not None else part
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text):
-                texts, n, gone = part.column(text).to_pylist(), [], []
-                for i, keys in enumerate(part.column("keys").to_pylist()):
-                    if digest:
-                        n.append(texts[i].count("\n") + 1 if texts[i] else 1)
-                    kept = None
-                    if keys:
-                        drop, lines = set(keys), (texts[i] or "").split("\n")
-                        kept = [x for x, k in zip(lines, line_keys(texts[i], min_chars), strict=True) if k not in drop]
-                        texts[i] = "\n".join(kept)
-                    if digest:
-                        gone.append(n[-1] - len(kept) if kept is not None else 0)
-                if digest:
-                    sha = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
-                else:
-                    at = part.schema.get_field_index(text)
-                    yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type)).drop_columns(["keys"])
-
-    out = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" if digest else both.drop("keys").schema
-    done = both.mapInArrow(cut, out)
+                yield treated(part, None)
+
+    def together(left: pa.Table, right: pa.Table) -> pa.Table:
+        lose = {(a, b): set(k) for a, b, k in zip(*(right.column(c).to_pylist() for c in ("named", "id", "keys")), strict=True)}
+        found = [treated(part, lose) for batch in unblocked(left.column("rows")) for part in pieces(batch, text)]
+        return pa.Table.from_batches(found) if found else pa.Table.from_batches([], arrow)
+
+    arrow = to_arrow_schema(schema)
+    by = F.xxhash64("named", "id")
+    met = blocked(may, by, n, text).groupBy("block").cogroup(lost.withColumn("block", F.pmod(by, F.lit(n)).cast("long")).groupBy("block")).applyInArrow(together, schema)
+    done = met.unionAll(same.mapInArrow(alone, schema))
     return done if digest else done.toDF(*docs.columns)
 
 
+def treat(docs: DataFrame, min_chars: int, min_docs: int, bits: int | None, digest: bool) -> DataFrame:
+    n_bytes = text_bytes(docs)
+    lost = dropped_keys(docs, min_chars, min_docs, bits or filter_bits(n_bytes))
+    return apply_lines(docs, lost, min_chars, digest, blocks_for(docs.sparkSession, n_bytes))
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: int | None = None) -> DataFrame:
     """``docs`` with the texts that stay; all other columns as they are."""
-    return apply_lines(docs, dropped_keys(docs, min_chars, min_docs, bits), min_chars, digest=False)
+    return treat(docs, min_chars, min_docs, bits, digest=False)
 
 
 def line_report(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 per row."""
-    return apply_lines(docs, dropped_keys(docs, min_chars, min_docs, bits), min_chars, digest=True)
+    return treat(docs, min_chars, min_docs, bits, digest=True)
