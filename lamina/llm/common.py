@@ -144,7 +144,7 @@ def packed(values: np.ndarray, kind: str = "<u8") -> bytes:
     """Integers with their bytes transposed and compressed: equal high bytes cost almost nothing."""
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes(), 1)
 
 
 def unpacked(blob: bytes, kind: str = "<u8") -> np.ndarray:
@@ -201,6 +201,52 @@ def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return marked(docs, ids).where("__may").drop("__may")
 
 
+# -- rows in compressed blocks -------------------------------------------------------------------------------------
+
+BLOCK = 16 << 20  # bytes of text of a block
+
+
+def blocks_for(spark: SparkSession, n_bytes: int) -> int:
+    return max(partitions(spark), n_bytes // BLOCK)
+
+
+def blocked(df: DataFrame, by: Column, n: int, text: str = "text") -> DataFrame:
+    """(block, rows): the rows of ``df`` in ``n`` blocks by the number ``by``, some megabytes of a task's rows compressed
+    together: texts that must move take less than half of what they take one by one. ``unblocked`` is the way back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                held.clear()
+                to = rows.column("__block").to_numpy()
+                order = np.argsort(to, kind="stable")
+                cut = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0, True])
+                rows = rows.drop_columns(["__block"])
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    some, sink = rows.take(pa.array(order[a:b])), pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_table(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(to[order[a]])], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+
+        for batch in batches:
+            for part in pieces(batch, text):
+                held.append(part)
+                if (size := size + part.nbytes) >= BLOCK:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return df.withColumn("__block", F.pmod(by, F.lit(n)).cast("long")).mapInArrow(run, "block long, rows binary")
+
+
+def unblocked(blobs: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    for blob in blobs:
+        yield from pa.ipc.open_stream(blob.as_buffer())
+
+
 # -- connected components -----------------------------------------------------------------------------------------
 
 

@@ -26,24 +26,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_least, mix, packed, partitions, pieces, text_bytes, unpacked, utf8, windows, word_hashes
+from .common import blocked, blocks_for, id_or_least, packed, pieces, text_bytes, unblocked, unpacked, utf8, windows, word_hashes
 
 OTHER_BASE = np.uint64(0x9FB21C651E98DF25)
 MOST_TASKS = 100_000
-STRETCH = 3_000_000  # windows that a task holds
-BLOCK = 16 << 20  # bytes of text for each of the blocks that hashes or ids are dealt into
+STRETCH = 2_000_000  # windows that a task holds, some 100 bytes each while they are sorted
 
 
-def blocks_for(docs: DataFrame) -> int:
-    return max(partitions(docs.sparkSession), text_bytes(docs) // BLOCK)
+def owner(ids: np.ndarray, n: int) -> np.ndarray:
+    """The block of an id; ``owner_column`` is the same in Spark."""
+    return (ids ^ (ids >> 17)) % n
 
 
-def owner(ids: np.ndarray, n: int) -> np.ndarray:
-    """The block of an id."""
-    return (mix(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+def owner_column(ids: Column, n: int) -> Column:
+    return F.pmod(ids.bitwiseXOR(F.shiftright(ids, 17)), F.lit(n))
 
 
 _SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary()), ("checks", pa.binary())])
@@ -134,43 +133,9 @@ def lost_windows(docs: DataFrame, k: int, n: int, stretch: int = STRETCH) -> Dat
     return spread.mapInArrow(losers, _SQL).select("block", "ids", "hashes")
 
 
-def text_blocks(docs: DataFrame, n: int) -> DataFrame:
-    """(block, docs): rows of (doc_id, text) in blocks by id, compressed some megabytes at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                rows = pa.Table.from_batches(held).combine_chunks()
-                held.clear()
-                ids = rows.column("doc_id").combine_chunks()
-                to = owner(ids.fill_null(0).to_numpy(zero_copy_only=False), n)
-                if ids.null_count:  # they lose nothing, wherever they are
-                    to = np.where(ids.is_null().to_numpy(zero_copy_only=False), owner(rows.column("own").combine_chunks().to_numpy(zero_copy_only=False), n), to)
-                order = np.argsort(to, kind="stable")
-                cut = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0, True])
-                rows = rows.drop_columns(["own"]).take(pa.array(order))
-                for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                        out.write_table(rows.slice(a, b - a))
-                    yield pa.RecordBatch.from_arrays([pa.array([int(to[order[a]])], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
-
-        for batch in batches:
-            for part in pieces(batch):
-                held.append(part)
-                if (size := size + part.get_total_buffer_size() // max(1, batch.num_rows // max(1, part.num_rows))) >= BLOCK:
-                    yield from flush()
-                    size = 0
-        yield from flush()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("own")).mapInArrow(run, "block long, docs binary")
-
-
 def removed_windows(docs: DataFrame, k: int = 13, n: int | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_text."""
-    n = n or blocks_for(docs)
+    n = n or blocks_for(docs.sparkSession, text_bytes(docs))
     lost = lost_windows(docs, k, n)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -182,7 +147,7 @@ def removed_windows(docs: DataFrame, k: int = 13, n: int | None = None) -> DataF
         order = np.argsort(ids, kind="stable")
         ids, h = ids[order], h[order]
         out = [[], [], [], []]
-        for batch in (x for blob in left.column("docs") for x in pa.ipc.open_stream(blob.as_buffer())):
+        for batch in unblocked(left.column("rows")):
             for part in pieces(batch):
                 offsets, data = utf8(part.column("text"))
                 _, _, rows, words = word_hashes(offsets, data)
@@ -208,7 +173,9 @@ def removed_windows(docs: DataFrame, k: int = 13, n: int | None = None) -> DataF
         cols = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
         return pa.table([*cols[:3], cols[3].cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    both = text_blocks(docs, n).groupBy("block").cogroup(lost.groupBy("block"))
+    # rows without an id lose nothing, wherever they are
+    texts = blocked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.coalesce(owner_column(F.col("doc_id"), n), F.xxhash64("text")), n)
+    both = texts.groupBy("block").cogroup(lost.groupBy("block"))
     return both.applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 

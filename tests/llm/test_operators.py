@@ -689,3 +689,9 @@ def test_documents_of_a_host_by_id(spark):
     df = spark.createDataFrame([(i, page, "h") for i in range(30)], "doc_id long, text string, source string")
     assert quality.judged(df).where("kept").count() == 30
     assert quality.judged(df, distinct="doc_id").where("kept or lost_words <> 72").count() == 0
+
+
+def test_packed_integers_come_back():
+    for kind in ("<u4", "<u8"):
+        for values in ([], [7], [0, 2**31, 5, 2**32 - 1]):
+            assert common.unpacked(common.packed(np.array(values, np.uint64), kind), kind).tolist() == values
