@@ -15,7 +15,7 @@ from lamina.llm.entries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.filtered(docs)
+    return quality.filtered(docs, distinct="content")  # copies are one document: near dedup keeps one of them
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,9 +42,15 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{base}/{label}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage ends here, and lost executors cost nothing."""
+def written(df: DataFrame, label: str, few: bool = False) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: its lineage ends here, and lost executors cost nothing.
+
+    ``few``: in three files for each core at most, for tables that are small beside the texts; a file costs more than
+    its rows there.
+    """
     path = folder(df.sparkSession, label)
+    if few:
+        df = df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.scratch_path = path
