@@ -120,13 +120,13 @@ FROM embeddings LEFT JOIN least ON vec_id = least.a LEFT JOIN counted ON vec_id
 
 _OP7 = f"""
 WITH docs AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce('1' || source, '0') AS host, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('i' || doc_id, 't' || coalesce(text, '')) AS told, coalesce(text, '') AS t, coalesce('1' || source, '0') AS host, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents
 ), lines AS MATERIALIZED (
-  SELECT rid, host, t, l, regexp_extract_all({_LOWER.format('l')}, {_WORD}) AS lw FROM (SELECT rid, host, t, unnest(string_split(t, chr(10))) AS l FROM docs)
+  SELECT rid, host, told, l, regexp_extract_all({_LOWER.format('l')}, {_WORD}) AS lw FROM (SELECT rid, host, told, unnest(string_split(t, chr(10))) AS l FROM docs)
 ), hosts AS (
-  SELECT host, count(DISTINCT t) AS n_docs FROM docs GROUP BY host
+  SELECT host, count(DISTINCT told) AS n_docs FROM docs GROUP BY host
 ), held AS (
-  SELECT host, array_to_string(lw, ' ') AS k, count(DISTINCT t) AS n FROM lines WHERE len(lw) > 0 GROUP BY host, k HAVING count(DISTINCT t) > 20
+  SELECT host, array_to_string(lw, ' ') AS k, count(DISTINCT told) AS n FROM lines WHERE len(lw) > 0 GROUP BY host, k HAVING count(DISTINCT told) > 20
 ), over_limit AS (
   SELECT host, k FROM held JOIN hosts USING (host) WHERE n > n_docs * 0.005::DOUBLE
 ), lost AS (

@@ -1,19 +1,19 @@
 """Quality rules by cross-document line frequency.
 
-Lines are normalised (words lower-cased over A-Z, joined by one space) and hashed. Per host, the documents that hold a
-line are counted by different content, so exact copies of one document count once. A line held by more than
-``max(min_docs, share * documents of the host)`` documents is over the limit and is removed; a document that so loses
-more than ``max_lost`` of its words is depleted and rejected. The base rules reject short and repetitive texts; they
-judge texts as they came, before lines are removed.
-
-Counting documents by content rather than by id is a choice: a page copied a thousand times is one document that near
-dedup will keep once, while its ids would put each of its lines over the limit and reject every copy (``distinct``
-chooses).
-
-Defined results: a null or empty text has no words and fails the base rules; a null host is a host of its own; repeated
-rows are judged each, and counted once; ids play no part, null or not; a line at the limit stays; lines without a word
-are never over a limit and stay; an empty table gives an empty one; extra columns stay in ``filtered``, whatever their
-names. Whole texts are measured however long they are; a text of b bytes takes some 40 * b bytes in its task.
+Lines are normalised (words lower-cased over A-Z, joined by one space) and hashed. Per host, the different documents
+that hold a line are counted. A line held by more than ``max(min_docs, share * documents of the host)`` of them is over
+the limit and is removed; a document that so loses more than ``max_lost`` of its words is depleted and rejected. The
+base rules reject short and repetitive texts; they judge texts as they came, before lines are removed.
+
+Documents are told apart by their ids, or (``distinct``) by their contents. By id, a page with more copies at a host than
+the limit has all its lines over it, and every copy is rejected; by content its copies are one document. A pipeline that
+keeps one document of each group later takes the latter.
+
+Defined results: a null or empty text has no words and fails the base rules; a null host is a host of its own; a row
+without an id is told apart by its content; rows that repeat an id are judged each, and counted once; a line at the limit
+stays; lines without a word are never over a limit and stay; an empty table gives an empty one; extra columns stay in
+``filtered``, whatever their names. Whole texts are measured however long they are; a text of b bytes takes some 20 * b
+bytes in its task.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, SPACE, hot_join, marked, mix, pieces, powers, utf8, windows, word_hashes, written
+from .common import SPACE, hot_join, marked, mix, pieces, powers, utf8, windows, word_hashes, written
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -83,8 +83,8 @@ def stats(offsets: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray | list]
     return out
 
 
-def measured(docs: DataFrame, host: str) -> DataFrame:
-    """Per row: id columns and ``stats``."""
+def measured(docs: DataFrame, host: str, rid: str | None = None) -> DataFrame:
+    """Per row: rid (a column, or null), doc_id, host and ``stats``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content", "lines", "line_words"]
@@ -94,24 +94,27 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
                 cols = [x if isinstance(x := found[k], pa.Array) else pa.array(x.astype(np.int64)) for k in names]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns) if part.schema.names[i] != "__text"), *cols], [x for x in part.schema.names if x != "__text"] + names)
 
-    here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).alias("host"), F.col("text").alias("__text"))
-    return here.mapInArrow(run, f"doc_id long, host string, {_OUT}")
+    own = (F.lit(None) if rid is None else F.col(rid)).cast("long").alias("rid")
+    here = docs.select(own, F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").alias("__text"))
+    return here.mapInArrow(run, f"rid long, doc_id long, host string, {_OUT}")
 
 
-def judged(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.005, max_lost: float = 0.7, distinct: str = "content") -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.005, max_lost: float = 0.7, distinct: str = "doc_id", rid: str | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, the base counts, base_failed, kept, lost_words (in removed lines), rid, over_lines.
 
     ``over_lines`` are the places of the lines to remove among the text's lines with a word, from 0; null if none is.
-    ``distinct`` says what tells two documents of a host apart: their ``content``, or their ``doc_id``.
+    ``distinct`` says what tells two documents of a host apart: their ``doc_id``, or their ``content``. ``rid`` is the
+    column of that name, or a number of our own.
     """
     named = F.concat(F.when(F.col("host").isNull(), "0").otherwise("1"), F.coalesce("host", F.lit("")))
-    base = written(measured(docs, host).withColumn("host", named).withColumn("rid", F.monotonically_increasing_id()), "measured")
-    told = F.coalesce(F.col(distinct), F.lit(NO_ID)).alias("told")
+    own = F.monotonically_increasing_id() if rid is None else F.col("rid")
+    base = written(measured(docs, host, rid).withColumn("host", named).withColumn("rid", own), "measured")
+    told = (F.col("content") if distinct == "content" else F.coalesce("doc_id", "content")).alias("told")
     hosts = base.groupBy("host").agg(F.countDistinct(told).alias("n_docs"))
     flat = base.select("rid", "host", told, F.posexplode(F.arrays_zip("lines", "line_words")).alias("place", "x"))
     lines = flat.select("rid", "host", "told", "place", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     held = lines.groupBy("host", "line").agg(F.countDistinct("told").alias("n"), F.count("*").alias("m")).where(F.col("n") > min_docs)
-    over = written(held.join(hosts, "host").where(F.col("n") > F.col("n_docs") * share).select("host", "line", "m"), "over")
+    over = written(held.join(hosts, "host").where(F.col("n") > F.col("n_docs") * share).select("host", "line", "m"), "over", few=True)
     total = over.agg(F.sum("m")).first()[0] or 0
     lost = hot_join(lines, over, ["host", "line"], "m", total, "rid").groupBy("rid").agg(F.sum("words").alias("lost"), F.collect_list("place").alias("over_lines"))
     both = base.drop("content", "lines", "line_words").join(lost, "rid", "left")
@@ -138,9 +141,9 @@ def filtered(docs: DataFrame, **how) -> DataFrame:
     text = place["text"]
     keyed = written(docs.toDF(*own).withColumn("__rid", F.monotonically_increasing_id()), "rows")  # numbered once for all
     host = how.pop("host", "source")
-    view = keyed.select(F.col("__rid").alias("doc_id"), F.col(text).alias("text"), F.col(place[host]).alias("host"))
-    verdict = judged(view, host="host", **how).where("not kept or over_lines is not null").select(F.col("doc_id").alias("id"), F.col("kept").alias("__kept"), F.col("over_lines").alias("__over"))
-    odd = written(verdict, "odd")  # who goes or loses a line: the others' texts don't shuffle
+    view = keyed.select("__rid", F.col(place["doc_id"]).alias("doc_id"), F.col(text).alias("text"), F.col(place[host]).alias("host"))
+    verdict = judged(view, host="host", rid="__rid", **how).where("not kept or over_lines is not null").select(F.col("rid").alias("id"), F.col("kept").alias("__kept"), F.col("over_lines").alias("__over"))
+    odd = written(verdict, "odd", few=True)  # who goes or loses a line: the others' texts don't shuffle
     here = marked(keyed.withColumnRenamed("__rid", "id"), odd.select("id"))
     met = here.where("__may").join(odd, "id", "left").where(F.coalesce("__kept", F.lit(True))).select(*own, "__over")
     both = met.unionAll(here.where("not __may").select(*own, F.lit(None).cast("array<int>").alias("__over")))

@@ -183,21 +183,24 @@ def test_depleted_documents_go(spark):
     assert {r.doc_id for r in quality.judged(df).where("kept").collect()} == {99, 100}
 
 
-def test_lines_over_the_limit_leave_the_kept_texts(spark):
+@pytest.mark.parametrize("distinct", ["doc_id", "content"])
+def test_lines_over_the_limit_leave_the_kept_texts(spark, distinct):
     """``filtered`` against brute force: verdicts, and texts without the lines that too many documents of a host hold."""
     menu, odd = "Menu  of the\tsite", "  MENU of the site \x0b"
     data = [(i, f"{menu}\nown {' '.join(f'w{i}x{j}' for j in range(55 + i % 3))}\n\n{odd if i % 4 else 'once ' + str(i)}\nlast {i}", "h" if i % 6 else None) for i in range(60)]
     data += [(100 + i, "\n".join([" ".join(f"menu{j}" for j in range(50)), f"own{i}"]), "h") for i in range(30)]
     data += [(200, f"{menu}\n{LONG}", "other"), (201, None, "h"), (202, data[1][1], "h"), (203, f"{menu}\r\n{LONG}\n", "h")]
+    data += [(300 + i, "a page of many copies\n" + LONG, "copied") for i in range(25)] + [(None, LONG, "copied"), (2, data[2][1], "h")]
 
     def key(x):
         return " ".join(WORD.findall(x)).translate({i: i + 32 for i in range(65, 91)})
 
     docs_of, held = defaultdict(set), defaultdict(set)
-    for _, t, h in data:
-        docs_of[h].add(t or "")
+    for i, t, h in data:
+        told = (t or "") if distinct == "content" or i is None else i
+        docs_of[h].add(told)
         for x in (t or "").split("\n"):
-            held[h, key(x)].add(t or "")
+            held[h, key(x)].add(told)
     want, removed, depleted = Counter(), 0, 0
     for i, t, h in data:
         over = [bool(key(x)) and len(held[h, key(x)]) > max(20, 0.005 * len(docs_of[h])) for x in (t or "").split("\n")]
@@ -208,9 +211,9 @@ def test_lines_over_the_limit_leave_the_kept_texts(spark):
         elif len(w) >= 50:
             removed += any(over)
             want[(i, "\n".join(x for x, o in zip(t.split("\n"), over) if not o), h)] += 1
-    got = quality.filtered(spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4))
+    got = quality.filtered(spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4), distinct=distinct)
     assert Counter(map(tuple, got.collect())) == want
-    assert removed > 40 and depleted == 30
+    assert removed > 40 and depleted == (56 if distinct == "doc_id" else 30)
 
 
 def test_sharding(docs):
@@ -687,8 +690,8 @@ def test_documents_of_a_host_by_id(spark):
     """One page under many ids: one document by content, many by id."""
     page = "\n".join(" ".join(f"p{i}x{j}" for j in range(12)) for i in range(6))
     df = spark.createDataFrame([(i, page, "h") for i in range(30)], "doc_id long, text string, source string")
-    assert quality.judged(df).where("kept").count() == 30
-    assert quality.judged(df, distinct="doc_id").where("kept or lost_words <> 72").count() == 0
+    assert quality.judged(df, distinct="content").where("kept").count() == 30
+    assert quality.judged(df).where("kept or lost_words <> 72").count() == 0
 
 
 def test_packed_integers_come_back():
