@@ -269,10 +269,10 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links", few=True)
     seen = state(now)
     while seen[0]:
-        before, now = now, written(stars(now, seen[0]), "stars")
+        before, now = now, written(stars(now, seen[0]), "stars", few=True)
         found = state(now)
         discard(before)
         if found == seen:

@@ -176,16 +176,16 @@ def clusters(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     rows = written(coded(vectors, bits, tables), "coded")
     able = rows.where("vec_id is not null and label is not null and dim is not null")
     key = ["label", "dim", "same1", "same2"]
-    classes = written(able.groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("size")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = written(able.groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("size")).withColumn("id", F.monotonically_increasing_id()), "classes", few=True)
     lead = able.join(classes, ["vec_id", *key]).dropDuplicates(["vec_id", *key])  # of equal rows
     lead = written(lead.select("id", "size", "label", "dim", "vector", "codes"), "leaders")
-    found = written(links(lead, threshold, bits, tables), "links")
-    comps = written(components(found.select(F.col("id").alias("a"), F.col("link").alias("b"))), "components")
+    found = written(links(lead, threshold, bits, tables), "links", few=True)
+    comps = written(components(found.select(F.col("id").alias("a"), F.col("link").alias("b"))), "components", few=True)
     rooted = classes.join(comps, "id", "left").withColumn("root", F.coalesce("component", "id"))
-    least = written(rooted.groupBy("root").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("m")), "least")
+    least = written(rooted.groupBy("root").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("m")), "least", few=True)
     joined = hot_join(rooted, least, ["root"], "m", classes.count(), "id")
     linked = joined.join(found.groupBy("id").agg(F.sum("n").alias("n")), "id", "left")
-    of_class = written(linked.select(*key, "size", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"), "of_class")
+    of_class = written(linked.select(*key, "size", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"), "of_class", few=True)
     discard(lead, found, comps, classes, least)
     told = hot_join(able.select("vec_id", *key), of_class, key, "size", rows.count(), "vec_id").select("vec_id", "n_links", "component_id")
     alone = rows.where("vec_id is null or label is null or dim is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -141,10 +141,10 @@ def dropped_keys(docs: DataFrame, min_chars: int, min_docs: int, bits: int) -> D
                     yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.binary()), part.column("named").take(of), part.column("id").take(of)], schema=kinds)
 
     here = docs.select(F.col("doc_id").isNotNull().cast("int").alias("named"), document().alias("id"), F.col("text"))
-    found = written(here.mapInArrow(suspects, "key binary, named int, id long").distinct(), "suspects")
-    common = written(found.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("named", "id")).alias("keeper")).where(F.col("n") >= min_docs), "common")
+    found = written(here.mapInArrow(suspects, "key binary, named int, id long").distinct(), "suspects", few=True)
+    common = written(found.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("named", "id")).alias("keeper")).where(F.col("n") >= min_docs), "common", few=True)
     lost = hot_join(found, common, ["key"], "n", found.count(), "id").where("struct(named, id) <> keeper")
-    out = written(lost.groupBy("named", "id").agg(F.collect_set("key").alias("keys")), "lost")
+    out = written(lost.groupBy("named", "id").agg(F.collect_set("key").alias("keys")), "lost", few=True)
     discard(found, common)
     twice.unpersist()
     return out

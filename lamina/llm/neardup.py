@@ -185,7 +185,7 @@ def by_size(members: DataFrame, percent: int) -> DataFrame:
     that grow by 100 / percent; a cell holds two neighbouring ones, so alike sets meet in one."""
     kind = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     large = members.where(F.col("n") > WIDE).drop("n").withColumn("cell", F.explode(F.array(kind, kind + 1)))
-    n = written(large.groupBy("key", "cell").agg(F.count("*").alias("n"), F.count("*").alias("m")).where("n > 1"), "cells")
+    n = written(large.groupBy("key", "cell").agg(F.count("*").alias("n"), F.count("*").alias("m")).where("n > 1"), "cells", few=True)
     dealt = hot_join(large, n, ["key", "cell"], "m", n.agg(F.sum("m")).first()[0] or 0, "id")
     return members.where(F.col("n") <= WIDE).withColumn("cell", F.lit(-1)).unionByName(dealt)
 
@@ -247,33 +247,33 @@ def class_links(docs: DataFrame, known: DataFrame, classes: DataFrame, k: int, p
     most = BANDS * classes.count()
     own = known.join(classes.select(*CLASS, "doc_id", "id"), ["doc_id", *CLASS]).dropDuplicates(["doc_id", *CLASS])  # of equal rows
     flat = own.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
-    buckets = written(flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = written(hot_join(flat, buckets.withColumn("m", F.col("n")), ["key"], "m", most, "id"), "members")
+    buckets = written(flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets", few=True)
+    members = written(hot_join(flat, buckets.withColumn("m", F.col("n")), ["key"], "m", most, "id"), "members", few=True)
 
     score = members.groupBy("id").agg(F.sum("n").alias("score"))
     best = members.join(score, "id").groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("id"), "size")).alias("x"), F.max("n").alias("m"))
-    leaders = written(best.select("key", "m", (-F.col("x.id")).alias("a"), F.col("x.size").alias("size_a")), "leaders")
+    leaders = written(best.select("key", "m", (-F.col("x.id")).alias("a"), F.col("x.size").alias("size_a")), "leaders", few=True)
     met = hot_join(members, leaders, ["key"], "m", most, "id").where(f"id <> a and 100 * least(size, size_a) >= {percent} * greatest(size, size_a)")
-    pairs = written(met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
+    pairs = written(met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs", few=True)
 
     def fetched(ids: DataFrame) -> DataFrame:
         return sets_of(docs, classes.select("id", "doc_id", *CLASS).join(ids, "id", "left_semi"), k)
 
     sets = written(fetched(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()), "sets")
-    links = written(verified(pairs, sets, percent).unionAll(same_id(known, classes)), "verified")
-    comps = written(components(links), "components")
+    links = written(verified(pairs, sets, percent).unionAll(same_id(known, classes)), "verified", few=True)
+    comps = written(components(links), "components", few=True)
     discard(buckets, leaders, pairs, sets)
 
     placed = members.where("n > 2").join(comps, "id", "left").select("key", "id", "size", "n", F.coalesce("component", "id").alias("comp"))
-    several = written(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("n").alias("m")).where("lo <> hi").select("key", "m"), "several")
-    rest = written(hot_join(placed, several, ["key"], "m", most, "id"), "rest")
-    near = written(close_members(rest, own.select("id", "sketch"), percent), "near")
+    several = written(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("n").alias("m")).where("lo <> hi").select("key", "m"), "several", few=True)
+    rest = written(hot_join(placed, several, ["key"], "m", most, "id"), "rest", few=True)
+    near = written(close_members(rest, own.select("id", "sketch"), percent), "near", few=True)
     if near.limit(1).count():
-        some = written(near.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("m")), "some")
+        some = written(near.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("m")), "some", few=True)
         held = hot_join(rest.drop("n").join(near, ["key", "id"]), some, ["key"], "m", near.count(), "id").select("key", "id", "comp", "n")
-        more = written(full_buckets(held, fetched(near.select("id").distinct()), percent), "more")
+        more = written(full_buckets(held, fetched(near.select("id").distinct()), percent), "more", few=True)
         if more.limit(1).count():
-            comps = written(components(links.unionAll(more)), "components")
+            comps = written(components(links.unionAll(more)), "components", few=True)
     discard(members, several, rest, near, links)
     return comps
 
@@ -290,14 +290,14 @@ def clusters(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     rows = written(signatures(docs, k), "signatures")
     known = rows.where("doc_id is not null and n_shingles > 0")
-    classes = written(known.groupBy(*CLASS).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = written(known.groupBy(*CLASS).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "classes", few=True)
     comps = class_links(docs, known, classes, k, percent)
 
     # the smallest document of each component, then of each class
     rooted = classes.join(comps, "id", "left").withColumn("root", F.coalesce("component", "id"))
-    least = written(rooted.groupBy("root").agg(F.min("doc_id").alias("c"), F.count("*").alias("m")), "least")
+    least = written(rooted.groupBy("root").agg(F.min("doc_id").alias("c"), F.count("*").alias("m")), "least", few=True)
     of_class = hot_join(rooted.select(*CLASS, "n", "id", "root"), least, ["root"], "m", classes.count(), "id")
-    of_class = written(of_class.select(*CLASS, "n", "c"), "of_class")
+    of_class = written(of_class.select(*CLASS, "n", "c"), "of_class", few=True)
     found = hot_join(known.select("doc_id", *CLASS), of_class, CLASS, "n", rows.count(), "doc_id").select("doc_id", "n_shingles", F.col("c").alias("component_id"))
     alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     discard(classes, least)
@@ -309,7 +309,7 @@ def kept(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Only rows whose id may be that of a copy shuffle.
     """
-    gone = written(clusters(docs.select("doc_id", "text"), k, percent).where("not kept").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    gone = written(clusters(docs.select("doc_id", "text"), k, percent).where("not kept").select(F.col("doc_id").alias("id")).distinct(), "gone", few=True)
     own = [f"c{i}" for i in range(len(docs.columns))]  # clashing names can't meet here
     here = marked(docs.toDF(*own).withColumn("id", F.col(own[docs.columns.index("doc_id")]).cast("long")), gone)
     return here.where("not __may").unionAll(here.where("__may").join(gone, "id", "left_anti").select(here.columns)).select(*own).toDF(*docs.columns)

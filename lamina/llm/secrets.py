@@ -105,7 +105,7 @@ def scanned(docs: DataFrame, owner: str = "source", max_owners: int = 1, max_rep
     live = F.col("n_owners") <= max_owners
     if max_repos is not None:
         live = live & (F.col("n_repos") <= max_repos)
-    verdict = written(ownership(rows).select("hash", live.alias("live"), "n_rows"), "verdicts")
+    verdict = written(ownership(rows).select("hash", live.alias("live"), "n_rows"), "verdicts", few=True)
     flat = rows.where(F.size("found") > 0).select("rid", F.explode("found").alias("x")).select("rid", "x.start", "x.kind", "x.end", F.col("x.hash").alias("hash"))
     total = verdict.agg(F.sum("n_rows")).first()[0] or 0
     held = hot_join(flat, verdict, ["hash"], "n_rows", total, "rid").groupBy("rid").agg(
