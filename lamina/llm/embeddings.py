@@ -177,7 +177,7 @@ def clusters(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     able = rows.where("vec_id is not null and label is not null and dim is not null")
     key = ["label", "dim", "same1", "same2"]
     classes = written(able.groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("size")).withColumn("id", F.monotonically_increasing_id()), "classes", few=True)
-    lead = able.join(classes, ["vec_id", *key]).dropDuplicates(["vec_id", *key])  # of equal rows
+    lead = able.dropDuplicates(["vec_id", *key]).join(classes, ["vec_id", *key])
     lead = written(lead.select("id", "size", "label", "dim", "vector", "codes"), "leaders")
     found = written(links(lead, threshold, bits, tables), "links", few=True)
     comps = written(components(found.select(F.col("id").alias("a"), F.col("link").alias("b"))), "components", few=True)

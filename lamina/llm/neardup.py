@@ -245,7 +245,7 @@ def full_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 def class_links(docs: DataFrame, known: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Written: (id, component) of the classes that anything links."""
     most = BANDS * classes.count()
-    own = known.join(classes.select(*CLASS, "doc_id", "id"), ["doc_id", *CLASS]).dropDuplicates(["doc_id", *CLASS])  # of equal rows
+    own = known.dropDuplicates(["doc_id", *CLASS]).join(classes.select(*CLASS, "doc_id", "id"), ["doc_id", *CLASS])
     flat = own.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
     buckets = written(flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets", few=True)
     members = written(hot_join(flat, buckets.withColumn("m", F.col("n")), ["key"], "m", most, "id"), "members", few=True)
@@ -260,7 +260,10 @@ def class_links(docs: DataFrame, known: DataFrame, classes: DataFrame, k: int, p
         return sets_of(docs, classes.select("id", "doc_id", *CLASS).join(ids, "id", "left_semi"), k)
 
     sets = written(fetched(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()), "sets")
-    links = written(verified(pairs, sets, percent).unionAll(same_id(known, classes)), "verified", few=True)
+    links = verified(pairs, sets, percent)
+    if (joined := same_id(known, classes)) is not None:
+        links = links.unionAll(joined)
+    links = written(links, "verified", few=True)
     comps = written(components(links), "components", few=True)
     discard(buckets, leaders, pairs, sets)
 
@@ -278,12 +281,16 @@ def class_links(docs: DataFrame, known: DataFrame, classes: DataFrame, k: int, p
     return comps
 
 
-def same_id(known: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between the classes of rows that have one id and different texts."""
-    several = known.groupBy("doc_id").agg(*(f("set1").alias(f"{f.__name__}1") for f in (F.min, F.max)), *(f("set2").alias(f"{f.__name__}2") for f in (F.min, F.max))).where("min1 <> max1 or min2 <> max2").select("doc_id")
+def same_id(known: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the classes of rows that have one id and different texts; None if there are none."""
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in CLASS[:2] for f in (F.min, F.max)]
+    several = known.groupBy("doc_id").agg(*ends).where("min_set1 <> max_set1 or min_set2 <> max_set2").select("doc_id")
     of_id = known.select("doc_id", *CLASS).join(several, "doc_id", "left_semi").distinct().join(classes.select(*CLASS, "id"), CLASS)
-    first = of_id.groupBy("doc_id").agg(F.min("id").alias("a"))
-    return of_id.join(first, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    of_id = written(of_id.select("doc_id", "id"), "same_id", few=True)
+    if not of_id.limit(1).count():
+        return None
+    first = of_id.groupBy("doc_id").agg(F.min("id").alias("a"), F.count("*").alias("n"))
+    return hot_join(of_id, first, ["doc_id"], "n", of_id.count(), "id").where("id <> a").select("a", F.col("id").alias("b"))
 
 
 def clusters(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

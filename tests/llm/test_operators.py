@@ -698,3 +698,31 @@ def test_packed_integers_come_back():
     for kind in ("<u4", "<u8"):
         for values in ([], [7], [0, 2**31, 5, 2**32 - 1]):
             assert common.unpacked(common.packed(np.array(values, np.uint64), kind), kind).tolist() == values
+
+
+def test_hot_joins_lose_and_add_nothing(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    left = spark.range(200).select("id", F.when(F.col("id") < 120, 7).otherwise(F.col("id") % 11).alias("k"))
+    right = left.groupBy("k").agg(F.count("*").alias("n")).where("k <> 5").withColumn("v", F.col("k") * 10)
+    got = common.hot_join(left, right, ["k"], "n", 200, "id")
+    want = left.join(right.drop("n"), "k")
+    assert got.columns == want.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_one_value_in_every_row(spark, monkeypatch):
+    """One secret, line, near copy and vector in all rows, with keys that count as hot from 20 rows on."""
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    token = "Zx9Qw2Er7Ty4Ui1Op8As5Df"
+    base = " ".join(f"b{i}" for i in range(100))
+    data = [(i, f"{LINE}\nsee {token} {base} own{i % 40}", f"s{i % 2}") for i in range(160)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(6)
+    r = secrets.scanned(df).collect()
+    assert len(r) == 160 and all((x.spans, x.n_live, x.n_example) == ("", 0, 1) for x in r)
+    r = secrets.scanned(df.withColumn("source", F.lit("one"))).collect()
+    assert all(x.n_live == 1 and x.spans.startswith("owned:") for x in r)
+    assert all(x.component_id == 0 for x in neardup.clusters(df, k=2).collect()) and neardup.kept(df, k=2).count() == 1
+    r = {x.doc_id: x for x in quality.judged(df).collect()}
+    assert len(r) == 160 and all(x.lost_words == len(LINE.split()) for x in r.values())
+    assert sorted((x.doc_id, x.n_dropped) for x in linededup.line_report(df).collect()) == [(i, int(i < 159)) for i in range(160)]
+    v = spark.range(160).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") % 4).cast("double") / 1000).alias("embedding"), F.lit(1).alias("label"))
+    assert all((x.n_links, x.component_id) == (159, 0) for x in embeddings.clusters(v).collect())
