@@ -583,12 +583,12 @@ def _(t):
 _N, _ZIPF = 512, 1.03
 _MASS = [k**-_ZIPF for k in range(1, _N + 1)]
 _ENDS = [round(sum(_MASS[: i + 1]) / sum(_MASS) * 2**52) for i in range(_N)]  # of the windows' shares among 52-bit draws
-_DRAW = "('0x' || substr(md5('w' || floor(i / 128)::BIGINT::VARCHAR), 1, 13))::BIGINT"
+_DRAW = "('0x' || substr(md5('w' || b::VARCHAR), 1, 13))::BIGINT"
 _WINDOW = f"len(list_filter([{', '.join(f'{x}::BIGINT' for x in _ENDS[:-1])}], lambda e: e <= {_DRAW}))"
-_VALUE = "(('0x' || substr(md5(w::VARCHAR || ':' || (i % 128)::VARCHAR), 1, 13))::BIGINT % 2147483647)"
+_VALUE = "(('0x' || substr(md5(w::VARCHAR || ':' || k::VARCHAR), 1, 13))::BIGINT % 2147483647)"
 
 
-@query("I05_windows", f"SELECT i AS id, {', '.join(f'v AS v{c}' for c in range(16))} FROM (SELECT i, {_VALUE}::BIGINT AS v FROM (SELECT i, {_WINDOW}::BIGINT AS w FROM range(65536) r(i)))")
+@query("I05_windows", f"SELECT id, {', '.join(f'v AS v{c}' for c in range(16))} FROM (SELECT b * 128 + k AS id, {_VALUE}::BIGINT AS v FROM (SELECT b, {_WINDOW}::BIGINT AS w FROM range(512) r(b)), range(128) s(k))")
 def _(t):
     """512 windows of 128 values, each drawn among 512 patterns by a Zipf law; 16 equal columns."""
     def digest(c):
