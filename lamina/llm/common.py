@@ -157,6 +157,7 @@ def unpacked(blob: bytes, kind: str = "<u8") -> np.ndarray:
 # -- joins on keys that many rows have -----------------------------------------------------------------------------
 
 HOT_ROWS = 1000  # rows of a key that one task is given, at least
+FEW_ROWS = 10_000  # rows of all keys that one task may be given
 MOST_HOT = 10_000  # keys that are broadcast, at most
 
 
@@ -165,8 +166,10 @@ def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], n: str, tot
 
     ``total`` is the sum of ``n`` or more. A key with more than ``limit`` rows is dealt by ``salt``, a column of
     ``left``, to as many tasks as it needs, however AQE is set. At most ``MOST_HOT`` keys can have so many: they are
-    broadcast.
+    broadcast. Where all rows together are what a task may be given, it is a plain join.
     """
+    if total <= FEW_ROWS:
+        return left.join(right.drop(n), list(keys), how)
     limit = max(HOT_ROWS, total // MOST_HOT)
     parts = F.expr(f"cast(if({n} > {limit}, {n} div {limit} + 1, 1) as int)")
     hot = F.broadcast(right.where(F.col(n) > limit).select(*keys, parts.alias("__parts")))

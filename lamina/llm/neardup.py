@@ -8,8 +8,7 @@ permutations there are 38 bands of 5: a pair at similarity 0.8 is missed with pr
 2. Classes meet in band buckets. Each bucket is led by the member that meets most others in all its buckets; every
    member is compared with its leader on full sets. That takes members, not pairs, and joins copies of one text.
 3. Components of these links. Buckets that still hold several components, and more than the leader and one other, are
-   compared in blocks of bounded size, members of a large bucket only with those of about their own size (sets of very
-   different sizes can't be alike): first by one byte of each signature value, which leaves the members that have a
+   compared in blocks of bounded size: first by one byte of each signature value, which leaves the members that have a
    partner in another component at similarity ``CLOSE`` or more (a pair at 0.8 falls below it with probability 1e-6),
    then those members on full sets. Nothing is emitted but members and one link for two components that meet.
 4. Components of all links.
@@ -180,16 +179,6 @@ def in_blocks(members: DataFrame, block: int) -> DataFrame:
     return here.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("blocks", "own", "other")
 
 
-def by_size(members: DataFrame, percent: int) -> DataFrame:
-    """``members`` (key, id, size, comp, n) with ``cell``, and in ``n`` the members of the cell. Sizes fall into classes
-    that grow by 100 / percent; a cell holds two neighbouring ones, so alike sets meet in one."""
-    kind = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    large = members.where(F.col("n") > WIDE).drop("n").withColumn("cell", F.explode(F.array(kind, kind + 1)))
-    n = written(large.groupBy("key", "cell").agg(F.count("*").alias("n"), F.count("*").alias("m")).where("n > 1"), "cells", few=True)
-    dealt = hot_join(large, n, ["key", "cell"], "m", n.agg(F.sum("m")).first()[0] or 0, "id")
-    return members.where(F.col("n") <= WIDE).withColumn("cell", F.lit(-1)).unionByName(dealt)
-
-
 def close_members(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(key, id) of ``members`` (key, id, size, comp, n) that full sets must decide."""
 
@@ -199,8 +188,7 @@ def close_members(members: DataFrame, sketches: DataFrame, percent: int) -> Data
         near = block_close(comp, size, sketch, side == 0, side == (i[0] != j[0]), percent)
         return pa.table([pa.array(key[near]), pa.array(ids[near])], names=["key", "id"])
 
-    dealt = in_blocks(by_size(members, percent), WIDE).join(sketches, "id")
-    return dealt.groupBy("key", "cell", "i", "j").applyInArrow(run, "key long, id long").distinct()
+    return in_blocks(members, WIDE).join(sketches, "id").groupBy("key", "i", "j").applyInArrow(run, "key long, id long").distinct()
 
 
 def block_links(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -246,9 +234,10 @@ def class_links(docs: DataFrame, known: DataFrame, classes: DataFrame, k: int, p
     """Written: (id, component) of the classes that anything links."""
     most = BANDS * classes.count()
     own = known.dropDuplicates(["doc_id", *CLASS]).join(classes.select(*CLASS, "doc_id", "id"), ["doc_id", *CLASS])
-    flat = own.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
+    flat = written(own.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key")), "flat")
     buckets = written(flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets", few=True)
     members = written(hot_join(flat, buckets.withColumn("m", F.col("n")), ["key"], "m", most, "id"), "members", few=True)
+    discard(flat)
 
     score = members.groupBy("id").agg(F.sum("n").alias("score"))
     best = members.join(score, "id").groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("id"), "size")).alias("x"), F.max("n").alias("m"))

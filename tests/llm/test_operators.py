@@ -612,8 +612,8 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert found == ids
 
 
-def test_large_buckets_are_compared_by_size(spark, monkeypatch):
-    """Chains of alike texts of many sizes, through cells of neighbouring sizes and through blocks."""
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """Chains of alike texts of many sizes, through many blocks."""
     monkeypatch.setattr(neardup, "WIDE", 4)
     monkeypatch.setattr(neardup, "BLOCK", 4)
     rng = np.random.default_rng(3)
@@ -702,6 +702,7 @@ def test_packed_integers_come_back():
 
 def test_hot_joins_lose_and_add_nothing(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
     left = spark.range(200).select("id", F.when(F.col("id") < 120, 7).otherwise(F.col("id") % 11).alias("k"))
     right = left.groupBy("k").agg(F.count("*").alias("n")).where("k <> 5").withColumn("v", F.col("k") * 10)
     got = common.hot_join(left, right, ["k"], "n", 200, "id")
@@ -712,6 +713,7 @@ def test_hot_joins_lose_and_add_nothing(spark, monkeypatch):
 def test_one_value_in_every_row(spark, monkeypatch):
     """One secret, line, near copy and vector in all rows, with keys that count as hot from 20 rows on."""
     monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
     token = "Zx9Qw2Er7Ty4Ui1Op8As5Df"
     base = " ".join(f"b{i}" for i in range(100))
     data = [(i, f"{LINE}\nsee {token} {base} own{i % 40}", f"s{i % 2}") for i in range(160)]
