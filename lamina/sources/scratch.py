@@ -45,14 +45,15 @@ def folder(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends here, and lost executors cost nothing.
 
-    ``few``: in three files for each core at most, for tables that are small beside the texts; a file costs more than
-    its rows there.
+    ``few``: for tables that are small beside the texts, where a file costs more than its rows: in three files for each
+    core or a quarter of the shuffle partitions, whichever is more, so that tasks grow in number with the data.
     """
-    path = folder(df.sparkSession, label)
+    spark = df.sparkSession
+    path = folder(spark, label)
     if few:
-        df = df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism)
+        df = df.coalesce(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     df.write.option("compression", "zstd").parquet(path)
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
     found.scratch_path = path
     return found
 
